@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -87,7 +88,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             yield batch
             continue
         start = size = 0
-        for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
+        for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
             if size and size + n > limit:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
