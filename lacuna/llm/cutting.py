@@ -33,31 +33,78 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), items
 
 
-def generate_columns(demand: dict[int, int], capacity: int, gap: float = 0.002, steps: int = 2500) -> list[tuple[dict[int, int], float]]:
+def falling_patterns(demand: dict[int, int], capacity: int, whole: bool) -> list[tuple[dict[int, int], float, list[int]]]:
+    """Patterns that take the longest lengths that fit, each as often as its scarcest length allows, and the lengths each uses up.
+
+    With ``whole`` that is a whole number, otherwise a fraction, so that every pattern
+    uses up a length.
+    """
+    left: dict[int, float] = {k: v for k, v in demand.items() if v > 0}
+    order = sorted(left, reverse=True)
+    made = []
+    while order:
+        pattern, room = {}, capacity
+        for length in order:
+            if length <= room:
+                n = min(room // length, max(1, int(left[length])))
+                pattern[length] = n
+                room -= n * length
+                if not room:
+                    break
+        times = min(left[k] // n if whole else left[k] / n for k, n in pattern.items())
+        gone = []
+        for k, n in pattern.items():
+            left[k] -= n * times
+            if left[k] < 1e-9:
+                gone.append(k)
+        made.append((pattern, times, gone))
+        if gone:
+            order = [k for k in order if k not in set(gone)]
+    return made
+
+
+def generate_columns(demand: dict[int, int], capacity: int, gap: float = 0.002, steps: int = 1500) -> list[tuple[dict[int, int], float]]:
     """Patterns with their (fractional) use in the linear program's solution.
 
-    Ends when no column prices out by more than ``gap``, which bounds the distance to the
-    optimum by that share, or after ``steps`` pivots; the solution covers the demand
-    exactly at any time.
+    Starts from the falling patterns, which form a triangular basis. Columns are priced
+    halfway between the basis's duals and each length's share of a bin, which is where the
+    duals tend, and by the duals alone once that finds none. Ends when no column prices
+    out by more than ``gap``, when the bins hold no more than that share of air, or after
+    ``steps`` pivots; the solution covers the demand exactly at any time.
     """
     lengths = np.array(sorted(k for k, v in demand.items() if v > 0))
     if not lengths.size:
         return []
-    need = np.array([demand[int(k)] for k in lengths], float)
-    fit = capacity // lengths
+    at = {int(k): i for i, k in enumerate(lengths)}
+    columns: list[dict[int, int]] = []
+    started: list[float] = []
+    for pattern, times, gone in falling_patterns(demand, capacity, whole=False):
+        columns.append({at[k]: n for k, n in pattern.items()})
+        started.append(times)
+        for k in gone[1:]:  # used up together: the others enter unused
+            columns.append({at[k]: capacity // k})
+            started.append(0.0)
     m = len(lengths)
-    columns = [{i: int(fit[i])} for i in range(m)]
-    inverse = np.diag(1.0 / fit)
-    use = need / fit
+    basis = np.zeros((m, m))
+    for j, column in enumerate(columns):
+        for i, n in column.items():
+            basis[i, j] = n
+    inverse, use = np.linalg.inv(basis), np.array(started)
+    share = lengths / capacity
+    least = share @ np.array([demand[int(k)] for k in lengths], float)
+    pull = 0.5
     for _ in range(steps):
-        prices = inverse.sum(0)
-        value, items = knapsack(lengths, prices, capacity)
-        if value <= 1 + gap:
+        if use.sum() <= least * (1 + gap):
             break
-        entering: dict[int, int] = {}
-        for i in items:
-            entering[i] = entering.get(i, 0) + 1
-        change = inverse[:, list(entering)] @ np.array(list(entering.values()), float)
+        prices = inverse.sum(0)
+        _, items = knapsack(lengths, pull * share + (1 - pull) * prices, capacity)
+        if prices[items].sum() <= 1 + 1e-9:
+            value, items = knapsack(lengths, prices, capacity)
+            pull = max(0.0, pull - 0.1)
+            if value <= 1 + gap:
+                break
+        rows, counts = np.unique(items, return_counts=True)
+        change = inverse[:, rows] @ counts
         up = change > 1e-9
         if not up.any():
             break
@@ -70,33 +117,10 @@ def generate_columns(demand: dict[int, int], capacity: int, gap: float = 0.002,
         pivot = inverse[row] / change[row]
         inverse -= np.outer(change, pivot)
         inverse[row] = pivot
-        columns[row] = entering
+        columns[row] = dict(zip(rows.tolist(), counts.tolist()))
     return [({int(lengths[i]): n for i, n in column.items()}, float(u)) for column, u in zip(columns, use)]
 
 
-def first_fit_falling(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns for what rounding leaves: each bin takes the longest lengths that fit; equal bins are taken at once."""
-    left = {k: v for k, v in demand.items() if v > 0}
-    made = []
-    while left:
-        pattern: dict[int, int] = {}
-        room = capacity
-        for length in sorted(left, reverse=True):
-            n = min(left[length], room // length)
-            if n:
-                pattern[length] = n
-                room -= n * length
-            if not room:
-                break
-        times = min(left[k] // n for k, n in pattern.items())
-        for k, n in pattern.items():
-            left[k] -= n * times
-            if not left[k]:
-                del left[k]
-        made.append((pattern, times))
-    return made
-
-
 def plan(demand: dict[int, int], capacity: int, slack: int) -> list[tuple[dict[int, int], int]]:
     """Integer patterns and how often to fill them; together they never exceed the demand.
 
@@ -112,7 +136,7 @@ def plan(demand: dict[int, int], capacity: int, slack: int) -> list[tuple[dict[i
             kept.append((pattern, times))
             for k, n in pattern.items():
                 left[k] -= n * times
-    for pattern, times in first_fit_falling(left, capacity):
+    for pattern, times, _ in falling_patterns(left, capacity, whole=True):
         if capacity - sum(k * n for k, n in pattern.items()) <= slack:
-            kept.append((pattern, times))
+            kept.append((pattern, int(times)))
     return kept

@@ -261,6 +261,25 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, but only one of each component: that with the smallest id.
+
+    Where ids repeat or are null, rows are numbered in a written copy first and the first of each component
+    stays. Rows without words all stay.
+    """
+    ids = docs.agg(F.count("*"), F.count(id_col), F.count_distinct(id_col)).first()
+    key = id_col
+    if len(set(ids)) > 1:
+        key = "__row"
+        docs = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_classes(docs, n, percent, key, text_col)
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "duplicates")
+    if gone.count() * 24 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")
+    return kept.drop(key) if key == "__row" else kept
+
+
 def _compare(docs: DataFrame, wanted: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links among candidates (digest, first_id, rep, cluster, n, band), enough to connect all components."""
     keys = wanted.select(F.coalesce("first_id", F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"), "rep", "cluster", "band")

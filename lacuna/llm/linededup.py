@@ -145,12 +145,11 @@ class LineIndex:
         found = self.hits().join(exact, ["shard", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         return found.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
-        """``docs`` with the lines its documents lose taken out, and with ``counts`` n_lines and n_dropped added.
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, ...] = ("n_lines", "n_dropped")) -> DataFrame:
+        """``docs`` with the lines its documents lose taken out, and and the numbers of lines before and dropped in columns named ``counts``, or neither.
 
         Lines split at line feeds; a null or empty text is one empty line and stays as it
-        is. A text without losses is unchanged. With ``counts``, ``docs`` must not hold
-        columns named n_lines or n_dropped.
+        is. A text without losses is unchanged. ``docs`` must not hold columns named as ``counts``.
         """
         drops = materialize(self.drops().select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys")), "line-drops")
         size = drops.agg(F.sum(F.size("__keys") * 16 + 32)).first()[0] or 0
@@ -158,7 +157,7 @@ class LineIndex:
             drops = F.broadcast(drops)
         joined = docs.join(drops, docs[id_col].cast("long").eqNullSafe(drops["__id"]), "left").drop("__id")
         own = docs.schema.fields
-        fields = own + [T.StructField(x, T.LongType()) for x in ("n_lines", "n_dropped") if counts]
+        fields = own + [T.StructField(x, T.LongType()) for x in counts]
         at, min_chars = docs.columns.index(text_col), self.min_chars
 
         def run(batches):
@@ -175,7 +174,7 @@ class LineIndex:
                     lines.append(n)
                     dropped.append(gone)
                 kept = {f.name: batch.column(i) for i, f in enumerate(own)} | {own[at].name: texts}
-                yield kept | ({"n_lines": lines, "n_dropped": dropped} if counts else {})
+                yield kept | dict(zip(counts, (lines, dropped)))
 
         return arrow_map(joined, run, T.StructType(fields))
 
@@ -192,11 +191,11 @@ def _groups(values: np.ndarray):
     return [(int(values[at[0]]), at) for at in np.split(order, starts) if at.size]
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, ...] = ("n_lines", "n_dropped")) -> DataFrame:
     """Inserts all of ``docs`` into a new index and applies it to them.
 
     Lines whose key has at least ``min_chars`` code points and is found in at least
     ``min_docs`` documents stay only in the document with the largest id.
     """
     index = LineIndex(docs.sparkSession, min_docs, SHARDS, min_chars).insert(docs, id_col=id_col, text_col=text_col)
-    return index.apply(docs, id_col, text_col)
+    return index.apply(docs, id_col, text_col, counts)

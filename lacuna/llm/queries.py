@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, linededup, media, packing, shards, tokens, toxicity
+from . import ann, chat, jaccard, linededup, media, packing, pieces, shards, tokens, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,13 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), model).withColumn("ids_crc32", F.crc32("ids"))
+    decoded = pieces.decode_pieces(encoded, model, keep=("n_bytes", "n_ids", "ids_crc32"))
+    return decoded.select("doc_id", "n_bytes", "n_ids", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -123,6 +131,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, training_labels(_table(spark, sf_dir, "labels")))
@@ -148,9 +160,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_sharding": op2_sharding,
         "op3_line_dedup": op3_line_dedup,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_chat_format": op5_chat_format,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_packing": op7_packing,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_toxicity": op9_toxicity,
         "op10_media_columns": op10_media_columns,
     }
