@@ -1,0 +1 @@
+"""Catalyst expressions and metrics."""

@@ -1,0 +1 @@
+"""Whole pipelines put together from operators."""

@@ -1,0 +1 @@
+"""Readers and writers: tables, file catalogs, rasters, configuration."""
