@@ -1,7 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
-Every word has a log-odds weight between toxic and clean labelled documents, shrunk by
-an informative Dirichlet prior and taken at the cautious end of its interval. Along a
+Every word, and every stem (a word's first four or five bytes, for words seen too rarely
+themselves), has a log-odds weight between toxic and clean labelled documents, shrunk by
+an informative Dirichlet prior and taken at the cautious end of its interval; families of
+near copies count once. A word's step is its own or its stems' best weight. Along a
 text, weights less a constant drift make a walk whose maximal rising segments (all of
 them, in linear time) are its suspicious passages. How high a passage rises by chance in
 a clean text of that length follows an extreme-value law with parameters lambda and K;
@@ -19,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import BROADCAST_BYTES, arrow_map, chunks
+from .jaccard import WordHashes, shingles
+from .runtime import BROADCAST_BYTES, arrow_map, chunks, materialize
 
-#: Weighted words that are broadcast: those with the surest weights.
+#: Weighted words and stems that are broadcast: those with the surest weights.
 VOCABULARY = 50_000
-#: Labelled rows, the first in the order of a hash of their ids, for the final two-parameter-family fits.
+#: Labelled rows, the first in the order of a hash of their ids, that the extreme-value law and the logistic fit see.
 FIT_ROWS = 20_000
-#: Strength of the Dirichlet prior, in words; width of the interval, in standard errors; loss at each step.
-PRIOR, WIDTH, DRIFT = 500.0, 2.0, 0.25
+#: Strength of the Dirichlet prior, as a share of all counts; width of the interval, in standard errors; smallest weight kept; loss at each step.
+PRIOR, WIDTH, LEAST, DRIFT = 1 / 300, 1.5, 1.0, 0.05
 #: A passage counts if its chance in a clean text is below this.
 SIGNIFICANT = 0.05
 
@@ -38,6 +41,33 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_LOWER).split() if text else []
 
 
+def features(word: bytes) -> list[bytes]:
+    """A word and its stems; no word holds the star that marks a stem."""
+    out = [word]
+    if len(word) > 4:
+        out.append(word[:4] + b"*")
+    if len(word) > 5:
+        out.append(word[:5] + b"*")
+    return out
+
+
+class Steps(dict):
+    """The step of each word, worked out once while there is room."""
+
+    def __init__(self, weights: dict[bytes, float], drift: float):
+        super().__init__()
+        self.weights, self.drift = weights, drift
+
+    def __missing__(self, word: bytes) -> float:
+        known = [self.weights[f] for f in features(word) if f in self.weights]
+        step = (max(known) if max(known) > 0 else min(known)) - self.drift if known else -self.drift
+        if len(self) > 500_000:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = step
+        return step
+
+
 def maximal_segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a walk, in order, in linear time.
 
@@ -75,15 +105,16 @@ class Model:
     center: np.ndarray
     scale: np.ndarray
     coef: np.ndarray
+    steps: Steps | None = None
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and every maximal segment (first word, end, score)."""
         seen = words(text)
         if not seen:
             return 0, []
-        get = self.weights.get
-        steps = np.fromiter((get(w, 0.0) for w in seen), float, len(seen)) - self.drift
-        return len(seen), maximal_segments(steps)
+        if self.steps is None:
+            self.steps = Steps(self.weights, self.drift)
+        return len(seen), maximal_segments(np.fromiter(map(self.steps.__getitem__, seen), float, len(seen)))
 
     def log_chance(self, n: float, score: float) -> float:
         """Log of the chance that a clean text of n words holds a segment of that score."""
@@ -108,43 +139,67 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean): labelled documents of either kind that hold the word."""
-    schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
+def _families(rows: DataFrame) -> DataFrame:
+    """The rows (__id, label, text), but one for each label and smallest three-word shingle, which near copies mostly share."""
+    schema = T.StructType([T.StructField("__id", rows.schema["__id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("family", T.LongType())])
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in chunks(batches, "text"):
+            families = []
+            for text in batch.column(2).to_pylist():
+                found = shingles(text, 3, hashes)
+                families.append(int(found[0] >> np.uint64(1)) if len(found) else -1)
+            yield {"__id": batch.column(0), "label": batch.column(1), "family": families}
+
+    chosen = arrow_map(rows.select("__id", "label", "text"), run, schema).groupBy("label", "family").agg(F.min("__id").alias("__id"))
+    chosen = materialize(chosen.select("__id"), "families")
+    if chosen.count() * 24 <= BROADCAST_BYTES:
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, "__id", "left_semi")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(feature, toxic, clean): rows of either label that hold the word or stem."""
+    schema = T.StructType([T.StructField("feature", T.BinaryType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
 
     def run(batches):
         counts: dict[bytes, list[int]] = {}
 
         def flush():
-            out = {"word": [*counts], "toxic": [x[1] for x in counts.values()], "clean": [x[0] for x in counts.values()]}
+            out = {"feature": [*counts], "toxic": [x[1] for x in counts.values()], "clean": [x[0] for x in counts.values()]}
             counts.clear()
             return out
 
         for batch in chunks(batches, "text"):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in {w for w in words(text) if len(w) <= 64}:
-                    counts.setdefault(w, [0, 0])[label] += 1
-            if len(counts) > 200_000:
+                for f in {f for w in set(words(text)) if len(w) <= 64 for f in features(w)}:
+                    if f in counts:
+                        counts[f][label] += 1
+                    else:
+                        counts[f] = [1 - label, label]
+            if len(counts) > 300_000:
                 yield flush()
         yield flush()
 
-    return arrow_map(rows, run, schema).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return arrow_map(rows.select("text", "label"), run, schema).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _weights(rows: DataFrame) -> dict[bytes, float]:
-    """The cautious log-odds of the words that have one, at most ``VOCABULARY`` of them."""
-    counts = _word_counts(rows).where(F.col("toxic") + F.col("clean") >= 3)
+    """The cautious log-odds of the words and stems that have one, at most ``VOCABULARY`` of them."""
+    counts = materialize(_counts(rows).where(F.col("toxic") + F.col("clean") >= 3), "word-counts")
     total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not total[0] or not total[1]:
         return {}
     t1, t0 = float(total[0]), float(total[1])
-    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / F.lit(t1 + t0)
+    strength = PRIOR * (t1 + t0)
+    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
     y1, y0 = F.col("toxic") + prior + 0.01, F.col("clean") + prior + 0.01
-    odds = F.log(y1 / (F.lit(t1 + PRIOR) - y1 + 1)) - F.log(y0 / (F.lit(t0 + PRIOR) - y0 + 1))
+    odds = F.log(y1 / (F.lit(t1 + strength) - y1 + 1)) - F.log(y0 / (F.lit(t0 + strength) - y0 + 1))
     error = F.sqrt(1 / y1 + 1 / y0)
-    sure = F.greatest(F.abs(odds) - WIDTH * error, F.lit(0.0))
-    scored = counts.select("word", (F.signum(odds) * sure).alias("w"), (F.abs(odds) / error).alias("z")).where("w <> 0")
-    return {bytes(r.word): float(r.w) for r in scored.orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()}
+    scored = counts.select("feature", (F.signum(odds) * (F.abs(odds) - WIDTH * error)).alias("w"), (F.abs(odds) / error).alias("z"))
+    scored = scored.where((F.abs("w") >= LEAST) & (F.col("z") > WIDTH))
+    return {bytes(r.feature): float(r.w) for r in scored.orderBy(F.desc("z"), "feature").limit(VOCABULARY).collect()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -182,14 +237,14 @@ def _extreme_value(highs: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from documents with a label of 0 or 1; with only one kind, every text gets its share.
 
-    Word counts use all labelled rows; the extreme-value and the logistic fit use at most
+    Word counts use all labelled rows, near copies once; the extreme-value and the logistic fit use at most
     ``FIT_ROWS`` of them. Ids serve to join labels and order that choice, nothing else.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["__id"])
     if labels.count() * 24 <= BROADCAST_BYTES:
         marks = F.broadcast(marks)
     rows = docs.join(marks, docs[id_col] == marks["__id"]).select(F.col(text_col).alias("text"), "label", "__id")
-    weights = _weights(rows.select("text", "label"))
+    weights = _weights(_families(rows))
     model = Model(weights, DRIFT, 1.0, 0.0, np.zeros(3), np.ones(3), np.zeros(4))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType()))])
