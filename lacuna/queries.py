@@ -388,9 +388,9 @@ def matrix(spark, folder) -> DataFrame:
     return features.feature_matrix(pixels(spark, folder), static_layer(spark, folder), coverage.calendar(spark, FIRST, LAST), climate(spark, folder))
 
 
-@query(f"WITH {MATRIX} SELECT month, row, col, year, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in _doubles)} FROM matrix")
+@query(f"WITH {MATRIX} SELECT month, row, col, year, {', '.join(f'round({c}, {12 if c in X.BANDS else 9}) + 0.0 AS {c}' for c in _doubles)} FROM matrix")
 def feature_matrix(spark, folder):
-    return matrix(spark, folder).withColumns({c: _r(c, 9) for c in _doubles})
+    return matrix(spark, folder).withColumns({c: _r(c, 12 if c in X.BANDS else 9) for c in _doubles})
 
 
 def _spoilt(spark, folder) -> DataFrame:
