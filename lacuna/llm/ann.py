@@ -237,11 +237,11 @@ def search(df: DataFrame, is_query, k: int = 20, parts: int = PARTITIONS, recall
     own, other = F.monotonically_increasing_id(), F.lit(0)
     spread = lambda n: F.pmod(F.xxhash64("vec_id", "__row"), F.col(n)).cast("int")
     left = rows.withColumn("__row", own).join(blocks, "part").select("part", spread("rb").alias("r"), F.explode(F.sequence(other, F.col("qb") - 1)).alias("q"), "vec_id", "v")
-    right = queries.withColumn("__row", own).join(blocks, "part").select("part", F.explode(F.sequence(other, F.col("rb") - 1)).alias("r"), spread("qb").alias("q"), "vec_id", "v")
+    right = queries.withColumn("__row", own).join(blocks, "part").select("part", F.explode(F.sequence(other, F.col("rb") - 1)).alias("r"), spread("qb").alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
 
     def tile(rows_: pa.Table, queries_: pa.Table) -> pa.Table:
         if len(rows_) and len(queries_):
-            found = best_in_tile(rows_.column("vec_id").to_numpy(), _matrix(rows_.column("v"), dim), queries_.column("vec_id").to_numpy(), _matrix(queries_.column("v"), dim), k)
+            found = best_in_tile(rows_.column("vec_id").to_numpy(), _matrix(rows_.column("v"), dim), queries_.column("query_id").to_numpy(), _matrix(queries_.column("query"), dim), k)
         else:
             found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
