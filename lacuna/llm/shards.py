@@ -61,8 +61,8 @@ def rebalance(old: SlotMap, size: list[int], rows: list[int], n_shards: int | No
     """The next version for new slot sizes or more shards: moves slots off the fullest shards only.
 
     A move takes, from the fullest shard, the largest slot that still lowers the larger of
-    both loads, to the emptiest. It ends when all are within ``tolerance`` of the mean or
-    no move helps.
+    both loads, to the emptiest; with more shards than before, only to the new ones. It
+    ends when all are within ``tolerance`` of the mean or no move helps.
     """
     n = n_shards or old.n_shards
     if n < old.n_shards:
@@ -73,8 +73,9 @@ def rebalance(old: SlotMap, size: list[int], rows: list[int], n_shards: int | No
         load[s] += size[slot]
         held[s].append((size[slot], slot))
     mean = sum(load) / n
+    takers = range(old.n_shards, n) if n > old.n_shards else range(n)
     for _ in range(len(shard)):
-        top, low = max(range(n), key=load.__getitem__), min(range(n), key=load.__getitem__)
+        top, low = max(range(n), key=load.__getitem__), min(takers, key=load.__getitem__)
         if load[top] <= mean * (1 + tolerance) and load[low] >= mean * (1 - tolerance):
             break
         room = (load[top] - load[low]) / 2
