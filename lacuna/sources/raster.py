@@ -119,7 +119,7 @@ def write_rasters(pixels: DataFrame, height: int, width: int, name: str = "name"
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])
     target = pa.schema([("name", pa.string()), ("content", pa.binary())])
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         grid = np.full((height, width), np.nan, np.float32)
         grid[table.column("row").to_numpy(), table.column("col").to_numpy()] = table.column("value").to_numpy()
         return pa.table({"name": [key[0].as_py()], "content": [encode(grid)]}, schema=target)
