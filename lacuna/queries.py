@@ -30,13 +30,14 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its own name, with its SQL."""
+def query(sql: str | None = None, longs: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Registers a function under its own name, with its SQL; ``longs`` are columns the SQL has as narrower integers."""
 
     def add(f: Query) -> Query:
         _queries[f.__name__] = lambda spark, folder: _plain(f(spark, folder))
         if sql:
-            _sql[f.__name__] = sql
+            casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in longs)
+            _sql[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if longs else sql
         return f
 
     return add
@@ -206,7 +207,7 @@ def customer_gap_cells(spark, folder):
 # Scene preparation
 
 
-@query(f"WITH {SCENES} SELECT l_orderkey, l_linenumber, mission, CASE WHEN (qa & 24) = 0 THEN value END AS value FROM scenes")
+@query(f"WITH {SCENES} SELECT l_orderkey, l_linenumber, mission, CASE WHEN (qa & 24) = 0 THEN value END AS value FROM scenes", longs=("l_linenumber",))
 def qa_mask(spark, folder):
     return sc.mask_quality(scenes(spark, folder), "value").select("l_orderkey", "l_linenumber", "mission", "value")
 
@@ -214,7 +215,7 @@ def qa_mask(spark, folder):
 SCALED = "CASE WHEN src LIKE 'SR_B%' THEN value * 0.0000275::DOUBLE + -0.2::DOUBLE WHEN src LIKE 'ST_B%' THEN value * 0.00341802::DOUBLE + 149.0::DOUBLE ELSE value END"
 
 
-@query(f"WITH {SCENES} SELECT l_orderkey, l_linenumber, src, round({SCALED}, 9) + 0.0 AS value FROM scenes")
+@query(f"WITH {SCENES} SELECT l_orderkey, l_linenumber, src, round({SCALED}, 9) + 0.0 AS value FROM scenes", longs=("l_linenumber",))
 def scale_bands(spark, folder):
     return sc.scale_bands(scenes(spark, folder)).select("l_orderkey", "l_linenumber", "src", _r("value", 9).alias("value"))
 
@@ -298,7 +299,7 @@ def climate(spark, folder) -> DataFrame:
     return cell.select("year", "month", "row", "col", X.precipitation(F.col("p")).alias("precip"), X.celsius(F.col("t")).alias("temp"))
 
 
-@query(f"WITH {CLIMATE} SELECT year, month, row, col, round(precip, 9) + 0.0 AS precip, round(temp, 9) + 0.0 AS temp FROM climate")
+@query(f"WITH {CLIMATE} SELECT year, month, row, col, round(precip, 9) + 0.0 AS precip, round(temp, 9) + 0.0 AS temp FROM climate", longs=("row", "col"))
 def climate_units(spark, folder):
     return climate(spark, folder).withColumns({"precip": _r("precip", 9), "temp": _r("temp", 9)})
 
@@ -388,7 +389,7 @@ def matrix(spark, folder) -> DataFrame:
     return features.feature_matrix(pixels(spark, folder), static_layer(spark, folder), coverage.calendar(spark, FIRST, LAST), climate(spark, folder))
 
 
-@query(f"WITH {MATRIX} SELECT month, row, col, year, {', '.join(f'round({c}, {12 if c in X.BANDS else 9}) + 0.0 AS {c}' for c in _doubles)} FROM matrix")
+@query(f"WITH {MATRIX} SELECT month, row, col, year, {', '.join(f'round({c}, {12 if c in X.BANDS else 9}) + 0.0 AS {c}' for c in _doubles)} FROM matrix", longs=("row", "col"))
 def feature_matrix(spark, folder):
     return matrix(spark, folder).withColumns({c: _r(c, 12 if c in X.BANDS else 9) for c in _doubles})
 
@@ -407,7 +408,7 @@ def finite_filter(spark, folder):
     return features.drop_invalid(_spoilt(spark, folder), "v", "l_quantity").groupBy("year", "month").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("v"))
 
 
-@query(f"WITH {SPOILT} SELECT l_orderkey, l_linenumber, CASE WHEN v IS NULL OR isnan(v) THEN 'none' ELSE 'some' END AS kind, CASE WHEN v IS NULL OR isnan(v) THEN NULL ELSE round(least(greatest(v, 0), 1), 6) END AS v FROM spoilt")
+@query(f"WITH {SPOILT} SELECT l_orderkey, l_linenumber, CASE WHEN v IS NULL OR isnan(v) THEN 'none' ELSE 'some' END AS kind, CASE WHEN v IS NULL OR isnan(v) THEN NULL ELSE round(least(greatest(v, 0), 1), 6) END AS v FROM spoilt", longs=("l_linenumber",))
 def clip_reflectance(spark, folder):
     done = features.clip_bands(_spoilt(spark, folder), "v")
     bad = F.col("v").isNull() | F.isnan("v")
@@ -424,14 +425,16 @@ def _keyed(spark, folder) -> DataFrame:
 
 
 @query(
-    f"WITH {SCENES}, keyed AS (SELECT *, {DAY} FROM scenes) SELECT {', '.join(KEY)} FROM keyed QUALIFY row_number() OVER (PARTITION BY year, month ORDER BY md5({_key_text} || '|42'), {', '.join(KEY)}) <= 50"
+    f"WITH {SCENES}, keyed AS (SELECT *, {DAY} FROM scenes) SELECT {', '.join(KEY)} FROM keyed QUALIFY row_number() OVER (PARTITION BY year, month ORDER BY md5({_key_text} || '|42'), {', '.join(KEY)}) <= 50",
+    longs=("l_linenumber",),
 )
 def cap_per_month(spark, folder):
     return features.cap_per_group(_keyed(spark, folder), 50, ["year", "month"], KEY).select(*KEY)
 
 
 @query(
-    f"WITH {SCENES}, keyed AS (SELECT *, {DAY}, row_number() OVER (ORDER BY year(l_shipdate), month(l_shipdate), {', '.join(k if k != 'ship_day' else 'l_shipdate' for k in KEY)}) AS rn, count(*) OVER () AS n FROM scenes) SELECT {', '.join(KEY)}, rn <= floor(n * (1.0::DOUBLE - 0.22::DOUBLE)) AS is_train FROM keyed"
+    f"WITH {SCENES}, keyed AS (SELECT *, {DAY}, row_number() OVER (ORDER BY year(l_shipdate), month(l_shipdate), {', '.join(k if k != 'ship_day' else 'l_shipdate' for k in KEY)}) AS rn, count(*) OVER () AS n FROM scenes) SELECT {', '.join(KEY)}, rn <= floor(n * (1.0::DOUBLE - 0.22::DOUBLE)) AS is_train FROM keyed",
+    longs=("l_linenumber",),
 )
 def temporal_split(spark, folder):
     return features.temporal_split(_keyed(spark, folder), KEY).select(*KEY, "is_train")
@@ -459,7 +462,7 @@ def scaler_stats(spark, folder):
 _z = lambda c: f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem), 6) + 0.0 AS {c}"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, {_z('l_quantity')}, {_z('l_discount')} FROM lineitem")
+@query(f"SELECT l_orderkey, l_linenumber, {_z('l_quantity')}, {_z('l_discount')} FROM lineitem", longs=("l_linenumber",))
 def standardize(spark, folder):
     t = read(spark, folder, "lineitem")
     done = features.standardize(t, features.stats_of(t, "l_quantity", "l_discount"))
@@ -535,7 +538,7 @@ def acts(spark, folder) -> DataFrame:
     return t.crossJoin(F.broadcast(centers(spark, folder))).select("vec_id", "y", F.col("label").alias("c"), model.rbf_expression("x", "center", f"{GAMMA}D").alias("a"))
 
 
-@query(f"WITH {ACTS} SELECT vec_id, c, round(a, 6) AS a FROM acts")
+@query(f"WITH {ACTS} SELECT vec_id, c, round(a, 6) AS a FROM acts", longs=("c",))
 def rbf_activation(spark, folder):
     return acts(spark, folder).select("vec_id", "c", _r("a").alias("a"))
 
@@ -556,7 +559,7 @@ def _wide(spark, folder) -> tuple[DataFrame, tuple[str, ...]]:
     return t.select("vec_id", F.col("label").cast("double").alias("y"), *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names))), names
 
 
-@query(f"WITH {ACTS} SELECT x.c AS i, y.c AS j, round(sum(x.a * y.a), 6) AS v FROM acts x JOIN acts y ON x.vec_id = y.vec_id GROUP BY 1, 2")
+@query(f"WITH {ACTS} SELECT x.c AS i, y.c AS j, round(sum(x.a * y.a), 6) AS v FROM acts x JOIN acts y ON x.vec_id = y.vec_id GROUP BY 1, 2", longs=("i", "j"))
 def gram(spark, folder):
     rows, names = _wide(spark, folder)
     ata, _, _ = model.gram(rows, names, ("y",), _center_matrix(spark, folder), GAMMA)
@@ -572,7 +575,8 @@ def rbf_forward(spark, folder):
 
 
 @query(
-    f"WITH {ACTS}, w AS (SELECT vec_id, max(a) FILTER (c = 0) AS a, max(a) FILTER (c = 1) AS b FROM acts GROUP BY 1), s AS (SELECT sum(a * a) + 0.5 AS p, sum(a * b) AS q, sum(b * b) + 0.5 AS r, sum(a * label) AS u, sum(b * label) AS v FROM w JOIN embeddings USING (vec_id)) SELECT 0 AS center, round((u * r - v * q) / (p * r - q * q), 5) AS weight FROM s UNION ALL SELECT 1, round((v * p - u * q) / (p * r - q * q), 5) FROM s"
+    f"WITH {ACTS}, w AS (SELECT vec_id, max(a) FILTER (c = 0) AS a, max(a) FILTER (c = 1) AS b FROM acts GROUP BY 1), s AS (SELECT sum(a * a) + 0.5 AS p, sum(a * b) AS q, sum(b * b) + 0.5 AS r, sum(a * label) AS u, sum(b * label) AS v FROM w JOIN embeddings USING (vec_id)) SELECT 0 AS center, round((u * r - v * q) / (p * r - q * q), 5) AS weight FROM s UNION ALL SELECT 1, round((v * p - u * q) / (p * r - q * q), 5) FROM s",
+    longs=("center",),
 )
 def ridge_two(spark, folder):
     rows, names = _wide(spark, folder)
@@ -657,7 +661,7 @@ _ndvi = "(nir - red) / (nir + red + 1e-6::DOUBLE)"
 _bsi = "((swir1 + red) - (nir + blue)) / ((swir1 + red) + (nir + blue) + 1e-6::DOUBLE)"
 
 
-@query(f"WITH {PIXELS} SELECT year, month, row, col, round({_ndvi}, 6) + 0.0 AS ndvi, round({_bsi}, 6) + 0.0 AS bsi, round(({_ndvi} + (1 - thermal)) / 2, 6) + 0.0 AS vhi FROM pixels")
+@query(f"WITH {PIXELS} SELECT year, month, row, col, round({_ndvi}, 6) + 0.0 AS ndvi, round({_bsi}, 6) + 0.0 AS bsi, round(({_ndvi} + (1 - thermal)) / 2, 6) + 0.0 AS vhi FROM pixels", longs=("row", "col"))
 def spectral_indices(spark, folder):
     done = gapfill.spectral_indices(pixels(spark, folder))
     return done.select("year", "month", "row", "col", *(_r(c).alias(c) for c in ("ndvi", "bsi", "vhi")))
