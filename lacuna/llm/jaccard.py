@@ -6,12 +6,15 @@
    and only sets of the same or neighbouring bands can link. In a tile of two such bands linked sets
    differ in at most d shingles; the hash range is cut into more than d parts, so
    they agree on one part at least. Each part's content, hashed, is a key under
-   which sets meet. Nothing is missed, and chance or a shared passage rarely fills a part alike.
-3. Sets that meet under any key, directly or through others, form a cluster. Each
-   cluster is compared in bounded tiles: bit counts of hashed bitmaps bound the overlap
-   of a pair from above, and only pairs the bound lets through are intersected exactly.
-   Pairs already connected are not compared again, so a family of near copies costs
-   about one comparison each, and no list of all pairs ever exists.
+   which sets meet. Nothing is missed.
+3. Where sets meet, hashed bitmaps come along: bit counts bound the overlap of a pair
+   from above, and a meeting keeps only the pairs the bound lets through, as few edges as connect them. So a passage
+   that many texts share brings them together under a key but doesn't tie them into one cluster.
+4. In the clusters that remain, pairs are intersected exactly, again behind the bound.
+
+Meetings and clusters are worked through in bounded tiles. Pairs already connected are
+not compared again, so a family of near copies costs about one comparison each, and no
+list of all pairs ever exists.
 """
 
 from __future__ import annotations
@@ -21,17 +24,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
 from .runtime import BROADCAST_BYTES, arrow_map, chunks, materialize
 
-#: Sets in a block of a large cluster; a tile holds two blocks at most.
+#: Sets in a block of a large group; a tile holds two blocks at most.
 BLOCK = 512
-#: Sets that stand in every block of a large cluster, to connect blocks cheaply.
+#: Sets that stand in every block of a large group, to connect blocks cheaply.
 PIVOTS = 8
+#: Bytes of sets or bitmaps that one call gets, in whole tiles.
+CALL_BYTES = 8 << 20
 #: Ids from here on stand for classes that hold null ids only.
 NO_ID = 2**62
 
@@ -49,7 +54,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -90,35 +95,67 @@ class Bands:
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def parts(self, tile: int) -> tuple[int, int, int]:
-        """(most shingles in which linked sets of the tile differ, parts, parts that may be empty)."""
+    def parts(self, tile: int) -> tuple[int, int, int, int]:
+        """(most shingles in which linked sets of the tile differ, parts, smallest part that makes a key, parts that may be smaller).
+
+        Linked sets agree on more parts than may be too small to make a key. Keys of two
+        shingles or more are taken where a few more parts than differences leave enough of them.
+        """
         a = self.bounds[tile + 1] - 1
         b = min(self.bounds[tile + 2] - 1, a * 100 // self.percent)
         differ = (100 - self.percent) * (a + b) // (100 + self.percent)
-        empty = 1 + differ // 50
-        return differ, differ + 1 + empty, empty
+        least = self.bounds[tile]
+        for small, more in ((2, differ // 2 + 4), (1, differ + 8)):
+            for parts in range(differ + 1, differ + more):
+                mean = least / parts
+                share = np.exp(-mean) * (1 + mean * (small == 2))
+                may = parts - differ - 1
+                if may >= parts * share + 3 * np.sqrt(parts * share) and mean > 1:
+                    return differ, parts, small, may
+        may = 1 + differ // 50
+        return differ, differ + 1 + may, 1, may
 
     def keys(self, found: np.ndarray) -> np.ndarray:
-        """The keys of a set in the tile that its band begins and in the one that it ends."""
+        """The keys of a set in the tile that its band begins and in the one that it ends.
+
+        A set with more small parts than foreseen gives keys for all its parts, empty ones
+        too; a linked set that agrees with it on small parts only then does as well.
+        """
         band = self.band(len(found))
         out = []
         for tile in (band - 1, band):
             if tile < 0:
                 continue
-            differ, parts, may = self.parts(tile)
+            differ, parts, small, may = self.parts(tile)
             if not differ:
                 continue  # linked sets of this tile are equal, so of one class
             part = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             sums = np.add.reduceat(mix(found + np.uint64(tile + 1)), starts)
             at = part[starts]
-            if parts - len(starts) > may:
+            large = np.diff(np.r_[starts, len(found)]) >= small
+            if parts - int(large.sum()) > may:
                 gone = np.setdiff1d(np.arange(parts, dtype=np.uint64), at)
                 at, sums = np.r_[at, gone], np.r_[sums, np.zeros(len(gone), np.uint64)]
+            else:
+                at, sums = at[large], sums[large]
             out.append(mix(mix(sums) + at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tile)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """The set's hashes as bits of a map at least as wide as the set, from 256 to 16,384 bits."""
+    width = 1 << int(np.clip(np.ceil(np.log2(max(1, len(found)))), 8, 14))
+    bits = np.zeros(width, np.uint8)
+    bits[(found & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(raw: bytes, words: int) -> np.ndarray:
+    """A bitmap on fewer bits: those of its equal parts, one over the other."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), axis=0)
+
+
 @lru_cache(maxsize=8)
 def bands_of(percent: int) -> Bands:
     return Bands(percent)
@@ -130,19 +167,20 @@ SETS = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("node", T.LongType()),
+        T.StructField("bits", T.BinaryType()),
         T.StructField("keys", T.ArrayType(T.LongType(), False)),
     ]
 )
 
 
 def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Size, digest and keys of each row's set; a task gives the keys of equal sets once."""
+    """Size, digest, bitmap and keys of each row's set; a task gives the bitmap and keys of equal sets once."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         hashes, known, bands = WordHashes(), set(), bands_of(percent)
-        for batch in chunks(batches, "text", 4 << 20):
-            sizes, digests, nodes, keys = [], [], [], []
+        for batch in chunks(batches, "text", 2 << 20):
+            sizes, digests, nodes, bits, keys = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, n, hashes)
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
@@ -151,43 +189,53 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
                 nodes.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
                 if digest is None or digest in known:
                     keys.append(np.zeros(0, np.uint64))
+                    bits.append(None)
                 else:
                     keys.append(bands.keys(found))
-                    if len(known) < 1_000_000:
+                    bits.append(bitmap(found))
+                    if len(known) < 100_000:
                         known.add(digest)
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             values = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             kind = pa.list_(pa.field("element", pa.int64(), nullable=False))
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
-            yield {"doc_id": batch.column(0), "n": sizes, "digest": digests, "node": nodes, "keys": lists}
+            yield {"doc_id": batch.column(0), "n": sizes, "digest": digests, "node": nodes, "bits": bits, "keys": lists}
 
     return arrow_map(rows, run, SETS)
 
 
-def candidate_clusters(sets: DataFrame) -> DataFrame:
-    """(node, cluster) of sets that meet another set under a key."""
-    from pyspark.sql import Window
-
+def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, cluster) of sets that the bitmaps' bound connects with another set under some key."""
     met = sets.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
-    hub = F.min("node").over(Window.partitionBy("key"))
-    edges = met.withColumn("hub", hub).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return components(edges).withColumnRenamed("component", "cluster")
-
-
-def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    same_key = Window.partitionBy("key")
+    met = met.withColumns({"lo": F.min("node").over(same_key), "hi": F.max("node").over(same_key)})
+    met = materialize(met.where("lo <> hi").select("key", "node").distinct(), "meetings")
+    # Near copies meet under many keys in the same company; one meeting of each company is enough.
+    company = met.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
+    once = company.groupBy("m", "h").agg(F.min("key").alias("key")).select("key")
+    met = met.join(once, "key", "left_semi")
+    maps = sets.where("bits IS NOT NULL").groupBy("digest", "node", "n").agg(F.first("bits").alias("payload"))
+    members = met.join(maps, "node").select(F.col("key").alias("cluster"), F.col("node").alias("rep"), F.lit(0).alias("band"), "n", "payload")
+    return components(connect(members, percent, exact=False)).withColumnRenamed("component", "cluster")
+
+
+def bound(sizes: np.ndarray, other_size: int, maps: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The most shingles that sets can share with another, by the bits that only one side has."""
+    a = sizes - np.bitwise_count(maps & ~other).sum(1, dtype=np.int64)
+    b = other_size - np.bitwise_count(other & ~maps).sum(1, dtype=np.int64)
+    return np.minimum(a, b)
+
+
+def link_tile(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
     """Links that connect what the threshold connects among these sets, between different labels only.
 
     Each set meets the smaller ones that are not yet connected with it, those with the highest
-    bound first; within a component the first exact link ends the search.
+    bound first; within a component the first link ends the search. Without ``sets`` the bound alone decides.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    width = 1 << int(np.clip(np.ceil(np.log2(max(1, sizes[-1]) * 2)), 8, 15))
-    bitmaps = np.zeros((len(order), width // 64), np.uint64)
-    for row, i in enumerate(order):
-        bits = np.zeros(width, np.uint8)
-        bits[(sets[i] & np.uint64(width - 1)).astype(np.int64)] = 1
-        bitmaps[row] = np.packbits(bits).view(np.uint64)
+    words = min(map(len, maps)) // 8
+    order = np.argsort(sizes, kind="stable")
+    sizes, ids = sizes[order], ids[order]
+    table = np.stack([folded(maps[i], words) for i in order])
     comp = np.unique(labels[order], return_inverse=True)[1]
     links = []
     for i in range(1, len(order)):
@@ -195,38 +243,96 @@ def link_tile(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, perce
         near = low + np.flatnonzero(comp[low:i] != comp[i])
         if not near.size:
             continue
-        own, other = bitmaps[i], bitmaps[near]
-        most = np.minimum(sizes[i] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), sizes[near] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
-        pass_ = 100 * most >= percent * (sizes[i] + sizes[near] - most)
-        near = near[pass_][np.argsort(-most[pass_], kind="stable")]
-        for j in near.tolist():
+        most = bound(sizes[near], int(sizes[i]), table[near], table[i])
+        fits = 100 * most >= percent * (sizes[i] + sizes[near] - most)
+        for j in near[fits][np.argsort(-most[fits], kind="stable")].tolist():
             if comp[j] == comp[i]:
                 continue
-            a, b = sets[order[i]], sets[order[j]]
-            at = np.searchsorted(a, b)
-            common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-            if 100 * common >= percent * (len(a) + len(b) - common):
-                links.append((int(ids[order[i]]), int(ids[order[j]])))
-                comp[comp == comp[j]] = comp[i]
+            if sets is not None:
+                a, b = sets[order[i]], sets[order[j]]
+                at = np.searchsorted(a, b)
+                common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+                if 100 * common < percent * (len(a) + len(b) - common):
+                    continue
+            links.append((int(ids[i]), int(ids[j])))
+            comp[comp == comp[j]] = comp[i]
     return links
 
 
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Links within each (cluster, tile) of members (rep, label, cluster, tile, hashes)."""
+def _links(members: DataFrame, percent: int, exact: bool, calls: int) -> DataFrame:
+    """Links within each (cluster, tile) of members (cluster, tile, rep, label, n, payload); whole tiles share a call."""
     target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_numpy()
-        first = np.unique(ids, return_index=True)[1]
-        raw, labels = table.column("hashes"), table.column("label").to_numpy()
-        sets = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in first]
-        found = link_tile(ids[first], sets, labels[first], percent) if len(first) > 1 else []
+        group = table.column("group").to_numpy()
+        reps, labels, sizes = (table.column(c).to_numpy() for c in ("rep", "label", "n"))
+        raw = table.column("payload").to_pylist()
+        order = np.lexsort((reps, group))
+        starts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+        found = []
+        for at in np.split(order, starts[1:]):
+            at = at[np.unique(reps[at], return_index=True)[1]]
+            if len(at) < 2:
+                continue
+            sets = [np.frombuffer(raw[i], np.uint64) for i in at] if exact else None
+            maps = [bitmap(x) for x in sets] if exact else [raw[i] for i in at]
+            found += link_tile(reps[at], labels[at], sizes[at], maps, percent, sets)
         return pa.table({"a": [x for x, _ in found], "b": [x for _, x in found]}, schema=target)
 
-    return members.groupBy("cluster", "tile").applyInArrow(run, LINKS)
+    keyed = members.withColumn("group", F.xxhash64("cluster", "tile"))
+    keyed = keyed.withColumn("call", F.pmod(F.xxhash64("group"), F.lit(calls)))
+    return keyed.select("call", "group", "rep", "label", "n", "payload").groupBy("call").applyInArrow(run, LINKS)
+
+
+def connect(members: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links among the members (cluster, rep, band, n, payload) of each cluster, enough to connect all that links connect.
+
+    Clusters of up to two blocks are one tile. Larger ones are cut into blocks by band and
+    hash. A first pass connects each block's members and a few pivots that stand in every
+    block; clusters that it leaves in several pieces go on to tiles of two blocks, where
+    only members of different pieces are compared.
+    """
+    members = materialize(members, "members")
+    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1"), "cluster-sizes")
+    calls = lambda df: max(1, int((df.agg(F.sum(F.octet_length("payload") + 48)).first()[0] or 0) / CALL_BYTES) + 1)
+    small = members.join(sizes.where(F.col("m") <= 2 * BLOCK).select("cluster"), "cluster", "left_semi")
+    links = materialize(_links(small.withColumns({"tile": F.lit(""), "label": F.col("rep")}), percent, exact, calls(members)), "links")
+    large = sizes.where(F.col("m") > 2 * BLOCK).select("cluster")
+    if large.isEmpty():
+        return links
+
+    big = members.join(large, "cluster", "left_semi")
+    blocks = materialize(big.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    total = blocks.groupBy("cluster").agg(F.sum("blocks").alias("all"))
+    big = big.join(blocks, ["cluster", "band"]).join(total, "cluster")
+    big = materialize(big.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "large-clusters")
+    tile = F.concat_ws("-", "band", "block")
+    # About a block's worth of members, by another hash, of which the first few are the pivots.
+    drawn = F.when(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("all")) == 0, F.struct(F.xxhash64("rep", F.lit(2)).alias("h"), "rep"))
+    pivots = big.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list(drawn)), 1, PIVOTS).alias("p")).select("cluster", F.explode("p.rep").alias("rep"))
+    stands = big.join(pivots, ["cluster", "rep"], "left_semi").select("cluster", "rep", "n", "payload")
+    places = big.select("cluster", tile.alias("tile")).distinct()
+    first = big.select("cluster", tile.alias("tile"), "rep", "n", "payload").unionByName(places.join(stands, "cluster"))
+    first = materialize(first.withColumn("label", F.col("rep")), "blocks-with-pivots")
+    links = links.unionByName(materialize(_links(first, percent, exact, calls(first)), "links"))
+
+    labels = components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    tagged = big.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    open_ = tagged.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
+    tagged = materialize(tagged.join(open_, "cluster", "left_semi"), "open-clusters")
+    if tagged.isEmpty():
+        return links
+    beside = blocks.select("cluster", F.col("band").alias("other"), F.col("blocks").alias("other_blocks"))
+    paired = tagged.join(beside, "cluster").where(F.abs(F.col("other") - F.col("band")) <= 1)
+    paired = paired.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    mine, theirs = F.struct("band", "block"), F.struct(F.col("other").alias("band"), F.col("at").alias("block"))
+    paired = paired.where(mine != theirs)
+    tile = F.concat_ws("+", F.least(mine, theirs).cast("string"), F.greatest(mine, theirs).cast("string"))
+    second = materialize(paired.select("cluster", tile.alias("tile"), "rep", "n", "payload", "label"), "block-pairs")
+    return links.unionByName(materialize(_links(second, percent, exact, calls(second)), "links"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +351,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
     classes = classes.withColumn("rep", F.coalesce("first_id", stand_in))
 
-    clusters = candidate_clusters(sets)
+    clusters = candidate_clusters(sets, percent)
     bands = bands_of(percent)
     bound_array = F.array(*[F.lit(b).cast("long") for b in bands.bounds])
     wanted = classes.join(clusters, "node").select("digest", "first_id", "rep", "cluster", "n")
@@ -282,58 +388,23 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
 
 def _compare(docs: DataFrame, wanted: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links among candidates (digest, first_id, rep, cluster, n, band), enough to connect all components."""
-    keys = wanted.select(F.coalesce("first_id", F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"), "rep", "cluster", "band")
+    keys = wanted.select(F.coalesce("first_id", F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"), "cluster", "rep", "band", "n")
     if wanted.count() * 96 <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text_col).alias("text"))
-    schema = T.StructType([*wanted.select("rep", "cluster", "band").schema.fields, T.StructField("hashes", T.BinaryType())])
+    schema = T.StructType([*wanted.select("cluster", "rep", "band", "n").schema.fields, T.StructField("payload", T.BinaryType())])
 
     def run(batches):
         hashes = WordHashes()
-        for batch in chunks(batches, "text", 4 << 20):
+        for batch in chunks(batches, "text", 2 << 20):
             out: dict = {f.name: [] for f in schema}
-            texts, digests, reps, homes, band = (batch.column(i).to_pylist() for i in range(5))
-            for i, text in enumerate(texts):
+            columns = [c.to_pylist() for c in batch.columns]
+            for text, digest, *rest in zip(*columns):
                 found = shingles(text, n, hashes).tobytes()
-                if xxhash.xxh3_128_digest(found) == digests[i]:
-                    for name, value in zip(out, (reps[i], homes[i], band[i], found)):
+                if xxhash.xxh3_128_digest(found) == digest:
+                    for name, value in zip(out, (*rest, found)):
                         out[name].append(value)
             yield out
 
-    loaded = rows.join(keys, "__id").select("text", "__digest", "rep", "cluster", "band")
-    loaded = materialize(arrow_map(loaded, run, schema), "candidate-sets")
-
-    # Clusters of up to two blocks are one tile. Larger ones are cut into blocks by band and hash.
-    sizes = materialize(wanted.groupBy("cluster").agg(F.count("*").alias("members"), F.sort_array(F.collect_set("band")).alias("bands")), "cluster-sizes")
-    small = loaded.join(sizes.where(F.col("members") <= 2 * BLOCK).select("cluster"), "cluster", "left_semi")
-    links = materialize(_links(small.withColumns({"tile": F.lit("all"), "label": F.col("rep")}), percent), "links")
-    large = sizes.where(F.col("members") > 2 * BLOCK).select("cluster")
-    if large.isEmpty():
-        return links
-
-    blocks = wanted.join(large, "cluster", "left_semi").groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    big = loaded.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    big = materialize(big, "large-clusters")
-    own = F.concat_ws("-", "band", "block")
-    pivots = big.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list(F.when(F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.lit(1), F.col("blocks"))) == 0, F.struct(F.xxhash64("rep", F.lit(2)).alias("h"), "rep")))), 1, PIVOTS).alias("p"))
-    pivots = pivots.select("cluster", F.explode("p.rep").alias("rep"))
-    stands = big.join(pivots, ["cluster", "rep"], "left_semi").select("cluster", "rep", "hashes")
-    places = big.select("cluster", own.alias("tile")).distinct()
-    first = big.select("cluster", own.alias("tile"), "rep", "hashes").unionByName(stands.join(places, "cluster").select("cluster", "tile", "rep", "hashes"))
-    links = links.unionByName(materialize(_links(first.withColumn("label", F.col("rep")), percent), "links"))
-
-    # What the blocks have connected is one label; clusters with more than one go on to tiles of block pairs.
-    labels = components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    tagged = big.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = tagged.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
-    tagged = materialize(tagged.join(open_, "cluster", "left_semi"), "open-clusters")
-    if tagged.isEmpty():
-        return links
-    beside = blocks.select("cluster", F.col("band").alias("other"), F.col("blocks").alias("other_blocks"))
-    paired = tagged.join(F.broadcast(beside) if beside.count() * 48 <= BROADCAST_BYTES else beside, "cluster").where(F.abs(F.col("other") - F.col("band")) <= 1)
-    paired = paired.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-    mine, theirs = F.struct("band", "block"), F.struct(F.col("other").alias("band"), F.col("at").alias("block"))
-    paired = paired.where(mine != theirs)
-    tile = F.concat_ws("+", F.least(mine, theirs).cast("string"), F.greatest(mine, theirs).cast("string"))
-    second = paired.select("cluster", tile.alias("tile"), "rep", "hashes", "label")
-    return links.unionByName(materialize(_links(second, percent), "links"))
+    loaded = rows.join(keys, "__id").select("text", "__digest", "cluster", "rep", "band", "n")
+    return connect(arrow_map(loaded, run, schema), percent, exact=True)
