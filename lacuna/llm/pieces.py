@@ -37,7 +37,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: Units kept in a worker's cache (about 150 bytes each).
-CACHE = 800_000
+CACHE = 500_000
 LONGEST_CACHED = 64
 
 
@@ -185,7 +185,7 @@ class Codec:
         """
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 600_000:
                 self.pairs.clear()
             found = self.pairs[left, right] = self._side_by_side(left, right)
         return found

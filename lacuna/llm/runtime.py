@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 #: Sides up to this many bytes are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 48 << 20
 
+#: Rows of an Arrow batch between the JVM and Python.
+BATCH_ROWS = 2_000
+
 _written: list[str] = []
 
 
@@ -65,9 +68,16 @@ def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches to a few megabytes of ordinary texts, so that two workers and the JVM fit an executor."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: StructType) -> DataFrame:
     """``mapInArrow`` for functions that yield dicts of column lists."""
     target = to_arrow_schema(schema)
+    _bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):

@@ -61,7 +61,7 @@ class Steps(dict):
     def __missing__(self, word: bytes) -> float:
         known = [self.weights[f] for f in features(word) if f in self.weights]
         step = (max(known) if max(known) > 0 else min(known)) - self.drift if known else -self.drift
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = step
@@ -178,7 +178,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                         counts[f][label] += 1
                     else:
                         counts[f] = [1 - label, label]
-            if len(counts) > 300_000:
+            if len(counts) > 150_000:
                 yield flush()
         yield flush()
 
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["__id"])
     if labels.count() * 24 <= BROADCAST_BYTES:
         marks = F.broadcast(marks)
-    rows = docs.join(marks, docs[id_col] == marks["__id"]).select(F.col(text_col).alias("text"), "label", "__id")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(marks, "__id").select("text", "label", "__id")
     weights = _weights(_families(rows))
     model = Model(weights, DRIFT, 1.0, 0.0, np.zeros(3), np.ones(3), np.zeros(4))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -310,13 +310,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def clean_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not predict toxic, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         held = shared.value
         for batch in chunks(batches, text_col):
             keep = [held.judge(x)[0] < 0.5 for x in batch.column(at).to_pylist()]
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield {f.name: kept.column(i) for i, f in enumerate(docs.schema.fields)}
+            yield {name: kept.column(i) for i, name in enumerate(names)}
 
     return arrow_map(docs, run, docs.schema)
