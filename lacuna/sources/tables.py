@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators.coverage import LEVELS, MISSIONS, gap_literal
+from lacuna.operators.coverage import MISSIONS, gap_literal
 
 COUNT_COLUMNS = ["year", "month", "date_label", *(f"{m}_L2" for m in MISSIONS), "total_L2", *(f"{m}_L1" for m in MISSIONS), "total_L1", "l1_minus_l2"]
 COUNT_SCHEMA = ", ".join(f"{c} {'string' if c == 'date_label' else 'int' if c in ('year', 'month') else 'long'}" for c in COUNT_COLUMNS)
 
-assert LEVELS == ("L2", "L1")
-
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
