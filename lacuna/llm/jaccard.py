@@ -168,52 +168,84 @@ SETS = T.StructType(
         T.StructField("digest", T.BinaryType()),
         T.StructField("node", T.LongType()),
         T.StructField("bits", T.BinaryType()),
-        T.StructField("keys", T.ArrayType(T.LongType(), False)),
     ]
 )
+KEYS = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType(), False))])
 
 
-def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Size, digest, bitmap and keys of each row's set; a task gives the bitmap and keys of equal sets once."""
+class Known(set):
+    """Digests that a task has met, while there is room."""
+
+    def new(self, digest: bytes) -> bool:
+        if digest in self:
+            return False
+        if len(self) < 100_000:
+            self.add(digest)
+        return True
+
+
+def _node(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """Size, digest and bitmap of each row's set; a task gives the bitmap of equal sets once."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        hashes, known, bands = WordHashes(), set(), bands_of(percent)
+        hashes, known = WordHashes(), Known()
         for batch in chunks(batches, "text", 2 << 20):
-            sizes, digests, nodes, bits, keys = [], [], [], [], []
+            out: dict = {"n": [], "digest": [], "node": [], "bits": []}
             for text in batch.column(1).to_pylist():
                 found = shingles(text, n, hashes)
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-                sizes.append(len(found))
-                digests.append(digest)
-                nodes.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
-                if digest is None or digest in known:
-                    keys.append(np.zeros(0, np.uint64))
-                    bits.append(None)
-                else:
+                out["n"].append(len(found))
+                out["digest"].append(digest)
+                out["node"].append(_node(digest) if digest else None)
+                out["bits"].append(bitmap(found) if digest and known.new(digest) else None)
+            yield out | {"doc_id": batch.column(0)}
+
+    return arrow_map(rows, run, SETS)
+
+
+def set_keys(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
+    """(node, keys) of the sets that have keys; a task gives the keys of equal sets once.
+
+    The shingles are made a second time here: keys are many, and going straight into the
+    shuffle they are never written as a table.
+    """
+
+    def run(batches):
+        hashes, known, bands = WordHashes(), Known(), bands_of(percent)
+        kind = pa.list_(pa.field("element", pa.int64(), nullable=False))
+        for batch in chunks(batches, "text", 2 << 20):
+            nodes, keys = [], []
+            for text in batch.column(0).to_pylist():
+                found = shingles(text, n, hashes)
+                if len(found) and known.new(digest := xxhash.xxh3_128_digest(found.tobytes())):
+                    nodes.append(_node(digest))
                     keys.append(bands.keys(found))
-                    bits.append(bitmap(found))
-                    if len(known) < 100_000:
-                        known.add(digest)
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             values = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            kind = pa.list_(pa.field("element", pa.int64(), nullable=False))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
-            yield {"doc_id": batch.column(0), "n": sizes, "digest": digests, "node": nodes, "bits": bits, "keys": lists}
+            yield {"node": nodes, "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)}
 
-    return arrow_map(rows, run, SETS)
+    return arrow_map(docs.select(F.col(text_col).alias("text")), run, KEYS)
 
 
-def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, cluster) of sets that the bitmaps' bound connects with another set under some key."""
-    met = sets.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
+def candidate_clusters(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """(node, cluster) of sets that the bitmaps' bound connects with another set under some key.
+
+    All steps up to the written meetings share the one shuffle by key.
+    """
     same_key = Window.partitionBy("key")
-    met = met.withColumns({"lo": F.min("node").over(same_key), "hi": F.max("node").over(same_key)})
-    met = materialize(met.where("lo <> hi").select("key", "node").distinct(), "meetings")
+    met = keyed.select("node", F.explode("keys").alias("key"))
+    met = met.withColumns({"lo": F.min("node").over(same_key), "hi": F.max("node").over(same_key)}).where("lo <> hi")
+    met = met.select("key", "node", "lo").distinct()
+    hashed = [F.bit_xor(F.xxhash64("node", F.lit(i))).over(same_key).alias(f"h{i}") for i in (1, 2)]
+    met = materialize(met.select("key", "node", "lo", F.count("*").over(same_key).alias("m"), *hashed), "meetings")
     # Near copies meet under many keys in the same company; one meeting of each company is enough.
-    company = met.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
-    once = company.groupBy("m", "h").agg(F.min("key").alias("key")).select("key")
-    met = met.join(once, "key", "left_semi")
+    once = met.where("node = lo").groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    met = met.select("key", "node").join(once, "key", "left_semi")
     maps = sets.where("bits IS NOT NULL").groupBy("digest", "node", "n").agg(F.first("bits").alias("payload"))
     members = met.join(maps, "node").select(F.col("key").alias("cluster"), F.col("node").alias("rep"), F.lit(0).alias("band"), "n", "payload")
     return components(connect(members, percent, exact=False)).withColumnRenamed("component", "cluster")
@@ -345,13 +377,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     a null component. Ids must be below 2^62.
     """
     spark = docs.sparkSession
-    sets = materialize(shingle_sets(docs, n, percent, id_col, text_col), "shingle-sets")
+    sets = materialize(shingle_sets(docs, n, id_col, text_col), "shingle-sets")
     some = sets.where("n > 0")
     classes = some.groupBy("digest", "node", "n").agg(F.min("doc_id").alias("first_id"))
     stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
     classes = classes.withColumn("rep", F.coalesce("first_id", stand_in))
 
-    clusters = candidate_clusters(sets, percent)
+    clusters = candidate_clusters(sets, set_keys(docs, n, percent, text_col), percent)
     bands = bands_of(percent)
     bound_array = F.array(*[F.lit(b).cast("long") for b in bands.bounds])
     wanted = classes.join(clusters, "node").select("digest", "first_id", "rep", "cluster", "n")
