@@ -12,23 +12,27 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b), longs; the component is its smallest node.
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum and a join,
-    until the table of stars stands still; every round is written to the shared folder. Null ends,
+    until all components are stars; every round is written to the shared folder. Null ends,
     loops and repeated edges are allowed and link nothing more. No edges, no rows.
     """
     stars = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    seen = None
-    while True:
-        mark = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == seen or not mark[0]:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        seen = mark
+    while not _all_stars(stars):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(low, F.col("a") == F.col("u")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = materialize(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
+    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge only and is nobody's smaller end."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    odd = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1")
+    return odd.agg(F.count("*")).first()[0] == 0

@@ -291,6 +291,22 @@ def link_tile(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, maps: list
     return links
 
 
+def as_stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges that connect the same, each from a component's smallest member."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    return [(x, r) for x in list(top) if (r := root(x)) != x]
+
+
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -311,7 +327,7 @@ def _links(members: DataFrame, percent: int, exact: bool, calls: int) -> DataFra
                 continue
             sets = [np.frombuffer(raw[i], np.uint64) for i in at] if exact else None
             maps = [bitmap(x) for x in sets] if exact else [raw[i] for i in at]
-            found += link_tile(reps[at], labels[at], sizes[at], maps, percent, sets)
+            found += as_stars(link_tile(reps[at], labels[at], sizes[at], maps, percent, sets))
         return pa.table({"a": [x for x, _ in found], "b": [x for _, x in found]}, schema=target)
 
     keyed = members.withColumn("group", F.xxhash64("cluster", "tile"))
