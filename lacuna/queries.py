@@ -588,7 +588,7 @@ def ridge_two(spark, folder):
 @query()
 def kmeans_fit(spark, folder):
     rows, names = _wide(spark, folder)
-    found = model.fit_centers(rows, names, 5, seeds=2)
+    found = model.fit_centers(rows, names, files.load_config()["num_centers"])
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(found)], "center long, position array<double>")
 
 
@@ -600,15 +600,14 @@ def _training(spark, folder) -> DataFrame:
 
 @query()
 def ridge_fit(spark, folder):
-    cfg = files.load_config() | {"num_centers": 20}
-    fitted, errors = gapfill.fit_pipeline(matrix(spark, folder), cfg, seeds=2)
+    fitted, errors = gapfill.fit_pipeline(matrix(spark, folder), files.load_config())
     return errors.withColumn("gamma", F.lit(fitted.gamma))
 
 
 @query()
 def grid_search(spark, folder):
     rows = _training(spark, folder)
-    best, trials = model.grid_search(rows.where("is_train"), rows.where("NOT is_train"), X.FEATURES, X.BANDS, ks=(5, 10), seeds=1)
+    best, trials = model.grid_search(rows.where("is_train"), rows.where("NOT is_train"), X.FEATURES, X.BANDS)
     rows.unpersist()
     return spark.createDataFrame(trials, "trial long, num_centers long, lambda_reg double, rmse double").withColumn("is_best", (F.col("num_centers") == best.get("num_centers", -1)) & (F.col("lambda_reg") == best.get("lambda_reg", -1.0)))
 
@@ -617,7 +616,7 @@ def grid_search(spark, folder):
 def fill_gaps(spark, folder):
     observed = pixels(spark, folder).select("year", "month").distinct().where("month <> 7")
     known = matrix(spark, folder).where("month <> 7")
-    fitted, _ = gapfill.fit_pipeline(known, files.load_config() | {"num_centers": 10}, seeds=1)
+    fitted, _ = gapfill.fit_pipeline(known, files.load_config())
     return gapfill.fill_gaps(fitted, coverage.calendar(spark, FIRST, LAST), observed, climate(spark, folder), static_layer(spark, folder))
 
 

@@ -1,9 +1,11 @@
 from pathlib import Path
 
+import numpy as np
 import pytest
 from sqlcheck import same_as_sql
 
 from lacuna import queries as own
+from lacuna.operators import model
 
 ROOT = Path(__file__).resolve().parent.parent
 SQL = own.oracle_sql()
@@ -28,3 +30,20 @@ def test_entry_imports_without_the_llm_folder(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'coverage_counts' in q and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_model_queries_run_the_whole_search(spark, small, monkeypatch):
+    asked = []
+
+    def centers(rows, features, k, seeds=10, seed=42):
+        asked.append((k, seeds))
+        return np.random.default_rng(k).normal(size=(k, len(features)))
+
+    monkeypatch.setattr(model, "fit_centers", centers)
+    found = own.queries()
+    assert found["kmeans_fit"](spark, small).count() == 50
+    trials = found["grid_search"](spark, small).collect()
+    assert [(t.num_centers, t.lambda_reg) for t in sorted(trials)] == [(k, p) for k in (30, 50, 100) for p in (1e-4, 1e-3, 1e-2)]
+    found["ridge_fit"](spark, small)
+    found["fill_gaps"](spark, small)
+    assert asked == [(50, 10), (30, 10), (50, 10), (100, 10), (50, 10), (50, 10)]
