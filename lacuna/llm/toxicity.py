@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .jaccard import WordHashes, shingles
+from .jaccard import jaccard_classes
 from .runtime import BROADCAST_BYTES, arrow_map, chunks, materialize
 
 #: Weighted words and stems that are broadcast: those with the surest weights.
@@ -30,6 +30,8 @@ VOCABULARY = 50_000
 FIT_ROWS = 20_000
 #: Strength of the Dirichlet prior, as a share of all counts; width of the interval, in standard errors; smallest weight kept; loss at each step.
 PRIOR, WIDTH, LEAST, DRIFT = 1 / 300, 1.5, 1.0, 0.05
+#: Similarity, in hundredths, from which labelled texts are near copies and count once.
+FAMILY_PERCENT = 80
 #: A passage counts if its chance in a clean text is below this.
 SIGNIFICANT = 0.05
 
@@ -140,23 +142,18 @@ class Model:
 
 
 def _families(rows: DataFrame) -> DataFrame:
-    """The rows (__id, label, text), but one for each label and smallest three-word shingle, which near copies mostly share."""
-    schema = T.StructType([T.StructField("__id", rows.schema["__id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("family", T.LongType())])
+    """The rows (__id, label, text), but one for each label of each component of near copies.
 
-    def run(batches):
-        hashes = WordHashes()
-        for batch in chunks(batches, "text"):
-            families = []
-            for text in batch.column(2).to_pylist():
-                found = shingles(text, 3, hashes)
-                families.append(int(found[0] >> np.uint64(1)) if len(found) else -1)
-            yield {"__id": batch.column(0), "label": batch.column(1), "family": families}
-
-    chosen = arrow_map(rows.select("__id", "label", "text"), run, schema).groupBy("label", "family").agg(F.min("__id").alias("__id"))
-    chosen = materialize(chosen.select("__id"), "families")
+    Near copies are confirmed ones: an exact Jaccard similarity of ``FAMILY_PERCENT`` hundredths on three-word shingles links them.
+    """
+    numbered = F.monotonically_increasing_id() * 2 + F.col("label")
+    rows = materialize(rows.withColumn("__row", numbered), "labelled")
+    found = jaccard_classes(rows, 3, FAMILY_PERCENT, "__row", "text")
+    chosen = found.groupBy((F.col("doc_id") % 2).alias("label"), "component_id").agg(F.min("doc_id").alias("__row"))
+    chosen = materialize(chosen.select("__row"), "families")
     if chosen.count() * 24 <= BROADCAST_BYTES:
         chosen = F.broadcast(chosen)
-    return rows.join(chosen, "__id", "left_semi")
+    return rows.join(chosen, "__row", "left_semi").drop("__row")
 
 
 def _counts(rows: DataFrame) -> DataFrame:

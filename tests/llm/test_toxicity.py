@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lacuna.llm import queries, toxicity
+from lacuna.llm import jaccard, queries, toxicity
 
 
 def brute_segments(w):
@@ -99,3 +99,17 @@ def test_one_kind_of_label_or_none(spark):
         assert {r.predicted for r in toxicity.score(df, model).collect()} == {0}
     model = toxicity.fit(df, spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(df, model).collect()} == {1}
+
+
+def test_only_near_copies_count_once(spark):
+    # All texts hold one three-word passage, whose hash is the smallest of theirs, and have nothing else in common.
+    least = lambda t: jaccard.shingles(t, 3, jaccard.WordHashes())[0]
+    common = min((f"a{i} b{i} c{i}" for i in range(3000)), key=least)
+    texts = [t for i in range(40) if least(t := f"{common} " + " ".join(f"w{i}x{k}" for k in range(8))) == least(common)][:12]
+    assert len(texts) == 12
+    long = " ".join(f"v{k}" for k in range(60))
+    copies = [long, long, long + " more"]
+    rows = [(i, i % 2, t) for i, t in enumerate(texts)] + [(100 + i, 0, t) for i, t in enumerate(copies)] + [(200, 1, long)]
+    kept = toxicity._families(spark.createDataFrame(rows, "__id long, label int, text string")).collect()
+    assert sorted(r["__id"] for r in kept if r["__id"] < 100) == list(range(12))
+    assert sorted(r.label for r in kept if r["__id"] >= 100) == [0, 1]
