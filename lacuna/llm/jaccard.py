@@ -436,6 +436,11 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
 
 def _compare(docs: DataFrame, wanted: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links among candidates (digest, first_id, rep, cluster, n, band), enough to connect all components."""
+    return connect(_load(docs, wanted, n, id_col, text_col), percent, exact=True)
+
+
+def _load(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """Candidates (digest, first_id, rep, cluster, n, band) with their sets as payload."""
     keys = wanted.select(F.coalesce("first_id", F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"), "cluster", "rep", "band", "n")
     if wanted.count() * 96 <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
@@ -455,4 +460,88 @@ def _compare(docs: DataFrame, wanted: DataFrame, n: int, percent: int, id_col: s
             yield out
 
     loaded = rows.join(keys, "__id").select("text", "__digest", "cluster", "rep", "band", "n")
-    return connect(arrow_map(loaded, run, schema), percent, exact=True)
+    return arrow_map(loaded, run, schema)
+
+
+def links_of_tile(own: bool, left: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """All links of a tile: among all its sets if it is a block's own, else between those of ``left`` and the others."""
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    maps = [bitmap(x) for x in sets]
+    words = min(map(len, maps)) // 8
+    table = np.stack([folded(maps[i], words) for i in order])
+    sizes, left = sizes[order], left[order]
+    links = []
+    for i in range(1, len(order)):
+        low = int(np.searchsorted(sizes[:i], -(-percent * sizes[i] // 100)))
+        near = np.arange(low, i) if own else low + np.flatnonzero(left[low:i] != left[i])
+        most = bound(sizes[near], int(sizes[i]), table[near], table[i])
+        a = sets[order[i]]
+        for j in near[100 * most >= percent * (sizes[i] + sizes[near] - most)].tolist():
+            b = sets[order[j]]
+            common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                links.append((int(ids[order[i]]), int(ids[order[j]])))
+    return links
+
+
+def every_link(members: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) among the members (cluster, rep, band, n, payload) of each cluster, each once.
+
+    Clusters are cut into blocks by band and hash; a tile is one block or two of the same
+    or neighbouring bands, and every pair of sets that can link stands in exactly one.
+    """
+    members = materialize(members, "members")
+    blocks = materialize(members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    tagged = members.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    beside = blocks.select("cluster", F.col("band").alias("other"), F.col("blocks").alias("other_blocks"))
+    paired = tagged.join(beside, "cluster").where(F.abs(F.col("other") - F.col("band")) <= 1)
+    paired = paired.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    mine, theirs = F.struct("band", "block"), F.struct(F.col("other").alias("band"), F.col("at").alias("block"))
+    tile = F.concat_ws("+", F.least(mine, theirs).cast("string"), F.greatest(mine, theirs).cast("string"))
+    paired = paired.select(F.xxhash64("cluster", tile).alias("group"), (mine == theirs).alias("own"), (mine < theirs).alias("left"), "rep", "payload")
+    paired = materialize(paired, "tiles")
+    total = paired.agg(F.sum(F.octet_length("payload") + 48)).first()[0] or 0
+    target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        group, own, left, reps = (table.column(c).to_numpy() for c in ("group", "own", "left", "rep"))
+        raw = table.column("payload").to_pylist()
+        order = np.lexsort((reps, group))
+        starts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+        found = []
+        for at in np.split(order, starts[1:]):
+            at = at[np.unique(reps[at], return_index=True)[1]]
+            found += links_of_tile(bool(own[at[0]]), left[at], reps[at], [np.frombuffer(raw[i], np.uint64) for i in at], percent)
+        return pa.table({"a": [x for x, _ in found], "b": [x for _, x in found]}, schema=target)
+
+    call = F.pmod(F.xxhash64("group"), F.lit(int(total / CALL_BYTES) + 1))
+    return materialize(paired.withColumn("call", call).groupBy("call").applyInArrow(run, LINKS), "links")
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``jaccard_classes`` with n_links: the number of other rows whose texts link with the row's.
+
+    Here all candidate pairs of classes are compared, also those already connected, and a
+    link with a class counts as many times as the class has rows. Classes are told apart by digest, so ids may repeat.
+    """
+    sets = materialize(shingle_sets(docs, n, id_col, text_col), "shingle-sets")
+    classes = sets.where("n > 0").groupBy("digest", "node", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m"))
+    classes = materialize(classes, "classes")
+    clusters = candidate_clusters(sets, set_keys(docs, n, percent, text_col), percent)
+    bound_array = F.array(*[F.lit(b).cast("long") for b in bands_of(percent).bounds])
+    wanted = classes.join(clusters, "node").select("digest", "first_id", F.col("node").alias("rep"), "cluster", "n")
+    wanted = materialize(wanted.withColumn("band", F.size(F.filter(bound_array, lambda b: b <= F.col("n"))) - 1), "candidates")
+    links = every_link(_load(docs, wanted, n, id_col, text_col), percent)
+
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(classes.select(F.col("node").alias("b"), "m"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("linked"))
+    tagged = classes.join(components(links), "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = tagged.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = tagged.join(firsts, "component").select("digest", "component_id", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    named = materialize(named, "components")
+    if named.count() * 56 <= BROADCAST_BYTES:
+        named = F.broadcast(named)
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    out = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

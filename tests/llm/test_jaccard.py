@@ -119,3 +119,23 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (None, 4), (3, 1), (30, 31), (31, 32), (32, 33), (33, 34), (34, 35)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {i: 30 for i in range(30, 36)}
+
+
+def test_number_of_links(spark, monkeypatch, odd_rows):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = families(3, 20, 6, 25) + [(None if i is None else i + 100_000, t) for i, t in odd_rows]
+    for i in range(40):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(120)] = f"x{rng.randrange(1000)}"
+        rows.append((5000 + i, " ".join(text)))
+    sets = sets_of(rows, 4)
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    n_links = [sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.jaccard_links(df, 4, 85)
+    want = sorted(((doc, len(s), m) for (doc, _), s, m in zip(rows, sets, n_links)), key=repr)
+    assert found(got.select("doc_id", "n_shingles", "n_links")) == want
+    assert found(got.select("doc_id", "n_shingles", "component_id")) == brute(rows, 4, 85)
