@@ -11,6 +11,7 @@ computed exactly; each query's best are merged.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -202,21 +203,27 @@ def search(df: DataFrame, is_query, k: int = 20, parts: int = PARTITIONS, recall
     Queries are the rows that ``is_query`` (a function of the id column) picks;
     candidates are all rows with another id. Nearness is the inner product in double
     precision; ties go to the smaller id. Vectors that are null or zero or hold null or
-    non-finite components take no part, nor do vectors of another length than the
-    sample's first or rows without an id. Fewer candidates give fewer rows; an empty table
+    non-finite components take no part, nor do rows without an id; vectors of each length
+    are searched on their own, among those of the same length. Fewer candidates give fewer rows; an empty table
     gives none. The number of partitions asked is chosen so that ``recall`` is reached
     on held-out vectors of the sample.
     """
     spark = df.sparkSession
     vectors = valid_vectors(df, id_col, vector_col)
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    if not len(chosen):
+    dims = sorted(r.dim for r in vectors.select(F.size("v").alias("dim")).distinct().collect())
+    if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(chosen.column("v")[0])
-    sample = np.array([r for r in chosen.column("v").to_pylist() if len(r) == dim])
-    index = fit_index(sample, k, parts, recall)
+    near = reduce(DataFrame.unionByName, [_near(vectors.where(F.size("v") == dim), dim, is_query, k, parts, recall) for dim in dims])
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _near(vectors: DataFrame, dim: int, is_query, k: int, parts: int, recall: float) -> DataFrame:
+    """(query_id, vec_id, score) of the nearest in each tile, for vectors of one length."""
+    spark = vectors.sparkSession
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    index = fit_index(np.array(chosen.column("v").to_pylist()), k, parts, recall)
     shared = spark.sparkContext.broadcast(index)
-    vectors = vectors.where(F.size("v") == dim)
 
     placed_type = T.StructType([*vectors.schema.fields, T.StructField("homes", T.ArrayType(T.IntegerType()))])
 
@@ -246,6 +253,4 @@ def search(df: DataFrame, is_query, k: int = 20, parts: int = PARTITIONS, recall
             found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
-    near = left.groupBy("part", "r", "q").cogroup(right.groupBy("part", "r", "q")).applyInArrow(tile, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("part", "r", "q").cogroup(right.groupBy("part", "r", "q")).applyInArrow(tile, FOUND)

@@ -81,3 +81,12 @@ def test_tiles_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROWS", 40)
     monkeypatch.setattr(ann, "QUERIES", 4)
     assert sorted(map(tuple, ann.search(frame(spark, ids, x), lambda i: i % 20 == 0).collect())) == whole
+
+
+def test_each_length_is_searched(spark):
+    odd = [(20 * i, [1.0, float(i + 1)]) for i in range(30)] + [(601, [1.0])]
+    rows = odd + [(1000 + i, [1.0, 2.0, float(i)]) for i in range(40)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 20 == 0, k=5).collect()
+    assert {r.query_id for r in found} == {20 * i for i in range(30)} | {1000, 1020} and len(found) == 32 * 5
+    assert all((r.query_id < 1000) == (r.vec_id < 1000) for r in found)
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == 1020] == [1039, 1038, 1037, 1036, 1035]
