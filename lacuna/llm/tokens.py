@@ -1,15 +1,16 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact hash table of frequent pre-tokens and their lengths in tokens,
-made from the vocabulary itself (every entry that is a whole pre-token is one token
-long), so its size is bounded by the vocabulary, whatever the corpus. It is broadcast
-as two buffers. Tier two is a cache in each Python worker for all other pre-tokens,
-filled by the encoder and emptied when it is full. No pre-token is ever shuffled: the
-plan is one scan and one map.
+Tier one is a compact hash table of frequent pre-tokens and their lengths in tokens, of
+a fixed number of entries: the most frequent ones of a bounded sample of the texts, then
+entries of the vocabulary that are whole pre-tokens. It is broadcast as two buffers.
+Tier two is a cache in each Python worker for all other pre-tokens, filled by the encoder
+and emptied when it is full. No pre-token is ever shuffled: the plan is one scan and one
+map. The sample decides only which lengths are at hand, never a count.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -20,6 +21,10 @@ from pyspark.sql import types as T
 from . import bytebpe
 from .runtime import arrow_map, chunks
 
+#: Texts in the sample that tier one is filled from, and the longest of them, in characters.
+SAMPLE_TEXTS, SAMPLE_CHARS = 1_000, 8_000
+#: Entries of tier one.
+FREQUENT = 65_536
 #: Entries of both tiers in a worker before tier two is emptied (about 120 bytes each).
 WORKER_ENTRIES = 600_000
 
@@ -48,18 +53,27 @@ class TwoTier(dict):
         return len(parts) - 1 + sum(sum(map(self.__getitem__, self.encoder.pretokens(p))) for p in parts)
 
 
-def frequent_table(encoder: bytebpe.ByteBpe) -> tuple[bytes, bytes]:
-    """The compact form: pre-tokens joined behind a byte that UTF-8 never holds, and their lengths."""
-    found, lengths = [], []
+def sample_texts(docs: DataFrame, text_col: str) -> list[str]:
+    """A bounded number of whole texts of bounded length; ``take`` reads only as many tasks' input as it needs."""
+    some = docs.select(F.col(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
+    return [r.text for r in some.take(SAMPLE_TEXTS)]
+
+
+def frequent_table(encoder: bytebpe.ByteBpe, sample: list[str], entries: int = FREQUENT) -> tuple[bytes, bytes]:
+    """The compact form: pre-tokens, most frequent first, joined behind a byte that UTF-8 never holds, and their lengths."""
+    seen = Counter(word for text in sample for word in encoder.pretokens(text) if len(word) <= 256)
+    chosen = [word for word, _ in seen.most_common(entries)]
     for piece in encoder.ranks:
+        if len(chosen) >= entries:
+            break
         try:
             word = piece.decode()
         except UnicodeDecodeError:
             continue
-        if [*encoder.pretokens(word)] == [word]:
-            found.append(piece)
-            lengths.append(encoder.piece_length(word))
-    return b"\xff".join(found), np.array(lengths, "<u2").tobytes()
+        if word not in seen and [*encoder.pretokens(word)] == [word]:
+            chosen.append(word)
+    lengths = [encoder.piece_length(word) for word in chosen]
+    return b"\xff".join(w.encode() for w in chosen), np.array(lengths, "<u2").tobytes()
 
 
 _tables: dict[int, TwoTier] = {}
@@ -90,7 +104,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     ``tokenizer`` names a byte-level BPE in JSON form or a SentencePiece model; counts
     are those of the file's own library without begin, end or other added tokens.
-    A null text counts as empty: 0 bytes and 0 tokens. A null id stays null, repeated
+    Tier one comes from ``SAMPLE_TEXTS`` texts at most; every text is counted in full by
+    either tier. A null text counts as empty: 0 bytes and 0 tokens. A null id stays null, repeated
     rows stay repeated, other columns are not read, an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -104,7 +119,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         except ValueError:
             counter = _library_counter(spark.sparkContext.broadcast(source))
         else:
-            words, lengths = frequent_table(encoder)
+            words, lengths = frequent_table(encoder, sample_texts(docs, text_col))
             value = spark.sparkContext.broadcast((source, words, lengths))
             shared = _Shared(hash((source, words)), value)
             counter = lambda: _worker_table(shared).count

@@ -35,6 +35,7 @@ def odd_rows():
         (None, "a row without an id"),
         (None, None),
         (-5, "  "),
+        (12, "a run of blanks" + " " * 1_200_000 + "x" + "\t\n" * 60_000),
     ]
     return rows
 

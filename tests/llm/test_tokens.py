@@ -1,6 +1,11 @@
+import json
 import random
+from collections import Counter
 
-from lacuna.llm import bytebpe, tokens
+import numpy as np
+import pytest
+
+from lacuna.llm import bytebpe, queries, tokens
 
 
 def library(path):
@@ -40,7 +45,41 @@ def test_ids_and_counts_on_odd_strings(bpe):
         assert own.encode_array(text).tolist() == want and table.count(text) == len(want), text
 
 
-def test_frequent_table_holds_single_tokens(bpe):
+def test_frequent_table_holds_lengths_by_frequency(bpe, some_texts):
     own = bytebpe.load(open(bpe, "rb").read())
-    words, lengths = tokens.frequent_table(own)
-    assert len(words.split(b"\xff")) * 2 == len(lengths) and set(lengths) <= {0, 1}
+    texts = [t for _, t in some_texts if t]
+    words, lengths = tokens.frequent_table(own, texts, 60_000)
+    words, lengths = words.decode(errors="surrogateescape").split("\udcff"), np.frombuffer(lengths, "<u2")
+    assert len(words) == len(set(words)) == len(lengths) <= 60_000 and (lengths >= 2).any()
+    assert all(own.piece_length(w) == n for w, n in zip(words[::97], lengths[::97]))
+    seen = Counter(w for t in texts for w in own.pretokens(t) if len(w) <= 256)
+    assert [seen[w] for w in words[: len(seen)]] == sorted(seen.values(), reverse=True)
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\u3000"])
+def test_long_blank_runs(bpe, blank):
+    encode, own = library(bpe), bytebpe.load(open(bpe, "rb").read())
+    table = tokens.TwoTier(own, {})
+    for text in ("a" + blank * 2_000_000 + "b", blank * 60_000 + "<|endoftext|>" + blank * 60_000, "x" + blank * 50_000 + "é" + blank * 50_001):
+        want = encode(text)
+        assert own.encode_array(text).tolist() == want and table.count(text) == len(want)
+
+
+def test_vocabularies_that_need_the_library(bpe, tmp_path, spark):
+    spec = json.loads(open(bpe).read())
+    spec["model"]["ignore_merges"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bytebpe.ByteBpe(path.read_bytes())
+    encode = library(str(path))
+    texts = ["the quick brown fox", "unusually", None]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert [r.n_tokens for r in tokens.count_tokens(df, str(path)).orderBy("doc_id").collect()] == [len(encode(t or "")) for t in texts]
+
+
+def test_query(spark, small, some_texts, bpe):
+    encode = library(bpe)
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op1_token_counts(spark, small).collect()}
+    want = {i: (len((t or "").encode()), len(encode(t or ""))) for i, t in some_texts}
+    assert got == {i: (b, n, n > 512) for i, (b, n) in want.items()}
