@@ -126,8 +126,10 @@ def plan(demand: dict[int, int], capacity: int, slack: int) -> list[tuple[dict[i
 
     Fractional uses are rounded down and the rest is packed first-fit falling. Patterns
     that would leave more than ``slack`` empty are left out: their documents are cut.
+    Rounding leaves little of fine fractions, so pivots are in proportion to the documents.
     """
-    rounded = [(p, int(u + 1e-9)) for p, u in generate_columns(demand, capacity)]
+    steps = min(1500, 20 + sum(demand.values()) // 20)
+    rounded = [(p, int(u + 1e-9)) for p, u in generate_columns(demand, capacity, steps=steps)]
     left = dict(demand)
     kept = []
     for pattern, times in rounded:

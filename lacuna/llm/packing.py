@@ -1,19 +1,19 @@
 """Packing token ids into fixed-size sequences along cutting-stock patterns.
 
-1. Every document is encoded once into a written table, which also holds its place among
-   the documents of the same length class in its task. Documents longer than a sequence
-   give full sequences and a rest; the class is the rest's length.
-2. The histogram of the classes, at most one row per length, goes to the driver, where
-   column generation finds patterns that fill sequences, and rounds them.
-3. Documents are ranked in their class: places in the task plus the class's count in
-   earlier tasks, so no task ever holds a class. Rank and patterns give the sequence and
-   offset of each rest; rests beyond the patterns lie end to end and are cut where a
-   sequence ends. All of it is a map over the written table.
+Each task encodes its documents once. A document longer than a sequence gives full
+sequences and a rest; rests gather in a bounded buffer. From the histogram of a full
+buffer's lengths column generation finds patterns that fill sequences and rounds them, and the
+buffer's documents, ranked in their length class, take the patterns' places. What no
+pattern takes is laid end to end, in one line through all tasks, and cut where a sequence
+ends. Tasks number their own sequences and positions; a table of a few numbers per task
+turns these into the whole table's. So ids are written once and never shuffled, and no
+step holds more than a buffer.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -29,160 +29,127 @@ from .runtime import BROADCAST_BYTES, arrow_map, chunks, materialize
 SEQUENCE = 1024
 #: Ids a pattern may leave empty at the end of a sequence.
 SLACK = 4
+#: Ids that a task gathers before it packs them.
+BUFFER = 4 << 20
+#: Ids in a batch of results.
+BATCH = 1 << 19
 
-ENCODED = T.StructType(
+PLACED = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("rest", T.IntegerType()),
-        T.StructField("place", T.LongType()),
-        T.StructField("fulls", T.LongType()),
-        T.StructField("fulls_before", T.LongType()),
-        T.StructField("ids", T.BinaryType()),
-    ]
-)
-PIECES = T.StructType(
-    [
         T.StructField("doc_id", T.LongType()),
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
         T.StructField("ids", T.BinaryType()),
         T.StructField("doc_tokens", T.LongType()),
-        T.StructField("sequence_id", T.LongType()),
+        T.StructField("sequence", T.LongType()),
         T.StructField("offset", T.LongType()),
     ]
 )
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, sequence: int, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """Rows of ``ENCODED`` and the ids' dtype; ids of a text, then ``end_id``."""
-    source = Path(tokenizer).read_bytes()
-    dtype = "<u2" if bytebpe.load(source).n_vocab <= 65536 and end_id < 65536 else "<u4"
-    shared = docs.sparkSession.sparkContext.broadcast(source)
+class Packer:
+    """Places of one task's documents: (doc, start, ids, tokens, sequence, offset) of each piece.
+
+    Sequences count from 0. Pieces to be laid end to end have no sequence; their offset is
+    their position in the task's line.
+    """
+
+    def __init__(self, sequence: int, slack: int, buffer: int):
+        self.sequence, self.slack, self.buffer = sequence, slack, buffer
+        self.used = self.line = self.held = 0
+        self.rests: dict[int, deque] = defaultdict(deque)
+
+    def add(self, doc: int | None, ids: np.ndarray) -> Iterator[tuple]:
+        """Takes a document in; gives its full sequences, and the buffer's places once that is full."""
+        n = len(ids)
+        whole = n // self.sequence * self.sequence
+        for start in range(0, whole, self.sequence):
+            yield doc, start, ids[start : start + self.sequence], n, self.used, 0
+            self.used += 1
+        if whole < n:
+            self.rests[n - whole].append((doc, whole, ids[whole:].copy() if whole else ids, n))
+            self.held += n - whole
+        if self.held >= self.buffer:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple]:
+        """Places of all rests in the buffer."""
+        for pattern, times in plan({k: len(v) for k, v in self.rests.items()}, self.sequence, self.slack):
+            lengths = [k for k, n in sorted(pattern.items(), reverse=True) for _ in range(n)]
+            offsets = np.cumsum([0, *lengths]).tolist()
+            for _ in range(times):
+                for length, offset in zip(lengths, offsets):
+                    yield *self.rests[length].popleft(), self.used, offset
+                self.used += 1
+        for length in sorted(self.rests, reverse=True):
+            for rest in self.rests[length]:
+                yield *rest, None, self.line
+                self.line += length
+        self.rests.clear()
+        self.held = 0
+
+
+def place_documents(docs: DataFrame, tokenizer: str, sequence: int, slack: int, end_id: int, id_col: str, text_col: str, buffer: int) -> DataFrame:
+    """Rows of ``PLACED``: every piece with its place in its task."""
+    shared = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches):
-        encoder = bytebpe.load(shared.value)
-        part = TaskContext.get().partitionId()
-        places = np.zeros(sequence, np.int64)
-        before = 0
+    def pieces(batches) -> Iterator[tuple]:
+        encoder, packer = bytebpe.load(shared.value), Packer(sequence, slack, buffer)
         for batch in chunks(batches, "text", 2 << 20):
-            out: dict = {f.name: [] for f in ENCODED}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encoder.encode_array(text), end_id) if text else np.array([end_id])
-                full, rest = divmod(len(ids), sequence)
-                out["doc_id"].append(doc)
-                out["n"].append(len(ids))
-                out["rest"].append(rest)
-                out["place"].append(int(places[rest]))
-                out["fulls"].append(full)
-                out["fulls_before"].append(before)
-                out["ids"].append(ids.astype(dtype).tobytes())
-                places[rest] += 1
-                before += full
-            yield out | {"part": [part] * len(out["n"])}
-
-    return arrow_map(rows, run, ENCODED), dtype
-
-
-@dataclass
-class Layout:
-    """Where the document of a rank in a length class goes.
-
-    Per length: ``first`` rank, documents per sequence, first sequence and offset of each
-    pattern that holds the length, and the rank and position from which rests are laid
-    end to end and cut.
-    """
+                yield from packer.add(doc, ids.astype("<u4"))
+        yield from packer.flush()
+
+    def run(batches):
+        part, size = TaskContext.get().partitionId(), 0
+        out: dict = {f.name: [] for f in PLACED}
+        for doc, start, ids, n, at, offset in pieces(batches):
+            for name, value in zip(out, (part, doc, start, len(ids), ids.tobytes(), n, at, offset)):
+                out[name].append(value)
+            size += len(ids) + 16
+            if size >= BATCH:
+                yield out
+                out, size = {f.name: [] for f in PLACED}, 0
+        yield out
 
-    sequence: int
-    slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    loose: dict[int, tuple[int, int]]
-    loose_first: int
-    full_first: int
-
-    def of(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
-        """(start in the rest, length, sequence, offset) of each piece."""
-        from_rank, position = self.loose[length]
-        if rank < from_rank:
-            first, each, at, offset = self.slots[length]
-            k = int(np.searchsorted(first, rank, side="right")) - 1
-            row, column = divmod(rank - int(first[k]), int(each[k]))
-            return [(0, length, int(at[k]) + row, int(offset[k]) + column * length)]
-        position += (rank - from_rank) * length
-        row, offset = divmod(position, self.sequence)
-        head = min(length, self.sequence - offset)
-        pieces = [(0, head, self.loose_first + row, offset)]
-        if head < length:
-            pieces.append((head, length - head, self.loose_first + row + 1, 0))
-        return pieces
-
-
-def layout(histogram: dict[int, int], sequence: int, slack: int) -> Layout:
-    """The patterns' sequences first, then those of cut rests, then full ones."""
-    patterns = plan(histogram, sequence, slack)
-    taken = dict.fromkeys(histogram, 0)
-    lists: dict[int, list] = {k: [] for k in histogram}
-    at = 0
-    for pattern, times in patterns:
-        offset = 0
-        for length, n in sorted(pattern.items(), reverse=True):
-            lists[length].append((taken[length], n, at, offset))
-            taken[length] += n * times
-            offset += n * length
-        at += times
-    loose, position = {}, 0
-    for length in sorted(histogram, reverse=True):
-        loose[length] = (taken[length], position)
-        position += (histogram[length] - taken[length]) * length
-    slots = {k: tuple(np.array(v, np.int64).reshape(-1, 4).T) for k, v in lists.items()}
-    return Layout(sequence, slots, loose, at, at + -(-position // sequence))
-
-
-def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, slack: int = SLACK, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return arrow_map(rows, run, PLACED)
+
+
+def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, slack: int = SLACK, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", buffer: int = BUFFER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (unsigned 32-bit little-endian), doc_tokens, sequence_id, offset.
 
     Sequences hold ``sequence`` ids; patterns leave at most ``slack`` of them empty, cut
-    rests none but in their last sequence. A null text is empty and gives ``end_id`` alone.
-    Every row is a document of its own, also with a null or repeated id; ties in a class
-    go by task and place. An empty table gives no rows.
+    rests none but in the table's last sequence. A null text is empty and gives ``end_id`` alone; a text
+    of any length is cut into full sequences and a rest. Every row is a document of its
+    own, also with a null or repeated id; ties in a class go by place in the task. Other
+    columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    encoded, dtype = encode_documents(docs, tokenizer, sequence, end_id, id_col, text_col)
-    table = materialize(encoded, "encoded")
-    counts = materialize(table.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum("fulls").alias("fulls")), "classes")
-    histogram = {r.rest: r.n for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    shared = spark.sparkContext.broadcast(layout(histogram, sequence, slack))
-
-    earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("part", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    fulls = counts.groupBy("part").agg(F.sum("fulls").alias("fulls"))
-    steps = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    full_firsts = fulls.select("part", F.coalesce(F.sum("fulls").over(steps), F.lit(0)).alias("full_first"))
-    offsets = materialize(firsts.join(full_firsts, "part"), "class-offsets")
-    if offsets.count() * 48 <= BROADCAST_BYTES:
-        offsets = F.broadcast(offsets)
-    ranked = table.join(offsets, ["part", "rest"]).select(
-        "doc_id", "n", "rest", (F.col("place") + F.col("first")).alias("rank"), "fulls", (F.col("fulls_before") + F.col("full_first")).alias("full_rank"), "ids"
+    placed = materialize(place_documents(docs, tokenizer, sequence, slack, end_id, id_col, text_col, buffer), "placed")
+    tasks = placed.groupBy("part").agg(
+        F.coalesce(F.max("sequence") + 1, F.lit(0)).alias("used"), F.sum(F.when(F.col("sequence").isNull(), F.col("length")).otherwise(0)).alias("line")
     )
-
-    def run(batches):
-        where = shared.value
-        for batch in chunks(batches, "ids", 2 << 20):
-            out: dict = {f.name: [] for f in PIECES}
-            for doc, n, rest, rank, full, full_rank, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(raw, dtype).astype("<u4")
-                pieces = [(k * sequence, sequence, where.full_first + full_rank + k, 0) for k in range(full)]
-                if rest:
-                    pieces += [(full * sequence + s, k, q, o) for s, k, q, o in where.of(rest, rank)]
-                for start, length, at, offset in pieces:
-                    out["doc_id"].append(doc)
-                    out["start"].append(start)
-                    out["length"].append(length)
-                    out["ids"].append(ids[start : start + length].tobytes())
-                    out["doc_tokens"].append(n)
-                    out["sequence_id"].append(at)
-                    out["offset"].append(offset)
-            yield out
-
-    return arrow_map(ranked, run, PIECES)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("used", "line")]
+    tasks = materialize(tasks.select("part", *before, F.sum("used").over(Window.partitionBy()).alias("all_used")), "task-places")
+    if tasks.count() * 64 <= BROADCAST_BYTES:
+        tasks = F.broadcast(tasks)
+
+    size = F.lit(sequence)
+    position = F.col("line_before") + F.col("offset")
+    line = F.col("all_used") + F.floor(position / size)
+    head = F.least(F.col("length"), size - F.pmod(position, size))
+
+    def piece(skip, length, at, offset):
+        ids = F.substring(F.col("ids"), (skip * 4 + 1).cast("int"), (length * 4).cast("int"))
+        return F.struct((F.col("start") + skip).alias("start"), length.alias("length"), ids.alias("ids"), at.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+
+    nothing = F.lit(0).cast("long")
+    own = F.array(piece(nothing, F.col("length"), F.col("used_before") + F.col("sequence"), F.col("offset")))
+    first = piece(nothing, head, line, F.pmod(position, size))
+    second = piece(head, F.col("length") - head, line + 1, nothing)
+    cut = F.when(F.col("sequence").isNotNull(), own).when(head < F.col("length"), F.array(first, second)).otherwise(F.array(first))
+    out = placed.join(tasks, "part").select("doc_id", "doc_tokens", F.explode(cut).alias("p"))
+    return out.select("doc_id", "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset")

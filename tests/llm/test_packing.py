@@ -1,10 +1,11 @@
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from lacuna.llm import cutting, packing
+from lacuna.llm import cutting, packing, queries
 
 
 def library(path):
@@ -48,10 +49,10 @@ def test_every_id_lies_in_one_piece(spark, odd, odd_rows, bpe):
     check(packing.pack(odd, bpe).collect(), odd_rows, library(bpe), 1024, packing.SLACK)
 
 
-@pytest.mark.parametrize("sequence", [16, 256, 1024])
-def test_little_padding(spark, some_texts, bpe, sequence):
+@pytest.mark.parametrize("sequence, buffer", [(16, 1 << 20), (256, 5_000), (1024, 1 << 22)])
+def test_little_padding(spark, some_texts, bpe, sequence, buffer):
     df = spark.createDataFrame(some_texts, "doc_id long, text string").repartition(5)
-    check(packing.pack(df, bpe, sequence=sequence).collect(), some_texts, library(bpe), sequence, packing.SLACK)
+    check(packing.pack(df, bpe, sequence=sequence, buffer=buffer).collect(), some_texts, library(bpe), sequence, packing.SLACK)
 
 
 def test_without_broadcast(spark, some_texts, bpe, monkeypatch):
@@ -60,6 +61,21 @@ def test_without_broadcast(spark, some_texts, bpe, monkeypatch):
     check(packing.pack(df, bpe).collect(), some_texts, library(bpe), 1024, packing.SLACK)
 
 
+def test_query(spark, small, some_texts, bpe):
+    encode = library(bpe)
+    got = sorted(queries.op7_packing(spark, small).collect(), key=lambda r: (r.doc_id, r.start))
+    assert got[0].__fields__ == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    ids = {i: [*encode(t or ""), 0] for i, t in some_texts}
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(x) for i, x in ids.items()}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+    used = Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert sorted(used) == list(range(len(used))) and sum(n < 1024 - packing.SLACK for n in used.values()) <= 1
+
+
 def test_empty_table(none, bpe):
     assert packing.pack(none, bpe).count() == 0
 
