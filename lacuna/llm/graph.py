@@ -5,30 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from . import runtime
+from .runtime import join_counted, materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b), longs; the component is its smallest node.
 
-    Alternates large-star and small-star steps, each a pre-aggregated minimum and a join,
-    until all components are stars; every round is written to the shared folder. Null ends,
-    loops and repeated edges are allowed and link nothing more. No edges, no rows.
+    Alternates large-star and small-star steps, each a pre-aggregated minimum and a join
+    that keeps a star's many edges out of any one task, until all components are stars; every round is
+    written to the shared folder. Null ends, loops and repeated edges are allowed and link nothing more. No edges, no rows.
     """
     stars = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
+    small = stars.count() * 2 * 64 <= runtime.BROADCAST_BYTES  # there are at most two nodes an edge, and rounds add no edges
     while not _all_stars(stars):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low, F.col("a") == F.col("u")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = materialize(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
+        large, least = _with_least(both, small)
+        large = large.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        if not small:
+            large = materialize(large, "large-stars")
+        joined, low = _with_least(large, small)
+        joined = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = materialize(joined.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        release(stars, large, least, low)
+        stars = after
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _with_least(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """The edges with m, the smallest b of their a; and that table (a, m, rows)."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
+    if small:
+        return edges.join(F.broadcast(least.drop("rows")), "a"), least
+    least = materialize(least, "least")
+    return join_counted(edges, least, ["a"]), least
+
+
 def _all_stars(edges: DataFrame) -> bool:
     """Whether each larger end has one edge only and is nobody's smaller end."""
     ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(

@@ -7,7 +7,8 @@
    differ in at most d shingles; the hash range is cut into more than d parts, so
    they agree on one part at least. Each part's content, hashed, is a key under
    which sets meet. Nothing is missed.
-3. Where sets meet, hashed bitmaps come along: bit counts bound the overlap of a pair
+3. Keys that two sets share are found by counting, with partial sums, so that a key of very many sets
+   is never held by one task. Where sets meet, hashed bitmaps come along: bit counts bound the overlap of a pair
    from above, and a meeting keeps only the pairs the bound lets through, as few edges as connect them. So a passage
    that many texts share brings them together under a key but doesn't tie them into one cluster.
 4. In the clusters that remain, pairs are intersected exactly, again behind the bound.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .runtime import BROADCAST_BYTES, arrow_map, chunks, materialize
+from .runtime import BROADCAST_BYTES, arrow_map, chunks, join_counted, materialize, release, unused
 
 #: Sets in a block of a large group; a tile holds two blocks at most.
 BLOCK = 512
@@ -37,9 +38,6 @@ BLOCK = 512
 PIVOTS = 8
 #: Bytes of sets or bitmaps that one call gets, in whole tiles.
 CALL_BYTES = 8 << 20
-#: Ids from here on stand for classes that hold null ids only.
-NO_ID = 2**62
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -164,13 +162,14 @@ def bands_of(percent: int) -> Bands:
 SETS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("node", T.LongType()),
         T.StructField("bits", T.BinaryType()),
+        T.StructField("keys", T.ArrayType(T.LongType(), False)),
     ]
 )
-KEYS = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType(), False))])
 
 
 class Known(set):
@@ -188,67 +187,58 @@ def _node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def shingle_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Size, digest and bitmap of each row's set; a task gives the bitmap of equal sets once."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Size and digest of each row's set, its bitmap and its keys; a task gives the last two of equal sets once."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches):
-        hashes, known = WordHashes(), Known()
+        hashes, known, bands = WordHashes(), Known(), bands_of(percent)
+        kind = pa.list_(pa.field("element", pa.int64(), nullable=False))
         for batch in chunks(batches, "text", 2 << 20):
             out: dict = {"n": [], "digest": [], "node": [], "bits": []}
-            for text in batch.column(1).to_pylist():
+            keys: list[np.ndarray | None] = []
+            for text in batch.column(2).to_pylist():
                 found = shingles(text, n, hashes)
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+                new = digest is not None and known.new(digest)
                 out["n"].append(len(found))
                 out["digest"].append(digest)
                 out["node"].append(_node(digest) if digest else None)
-                out["bits"].append(bitmap(found) if digest and known.new(digest) else None)
-            yield out | {"doc_id": batch.column(0)}
+                out["bits"].append(bitmap(found) if new else None)
+                keys.append(bands.keys(found) if new else None)
+            offsets = np.concatenate(([0], np.cumsum([0 if k is None else len(k) for k in keys]))).astype(np.int32)
+            some = [k for k in keys if k is not None]
+            values = np.concatenate(some).view(np.int64) if some else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
+            yield out | {"doc_id": batch.column(0), "text_hash": batch.column(1), "keys": lists}
 
     return arrow_map(rows, run, SETS)
 
 
-def set_keys(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
-    """(node, keys) of the sets that have keys; a task gives the keys of equal sets once.
-
-    The shingles are made a second time here: keys are many, and going straight into the
-    shuffle they are never written as a table.
-    """
-
-    def run(batches):
-        hashes, known, bands = WordHashes(), Known(), bands_of(percent)
-        kind = pa.list_(pa.field("element", pa.int64(), nullable=False))
-        for batch in chunks(batches, "text", 2 << 20):
-            nodes, keys = [], []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, n, hashes)
-                if len(found) and known.new(digest := xxhash.xxh3_128_digest(found.tobytes())):
-                    nodes.append(_node(digest))
-                    keys.append(bands.keys(found))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            values = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield {"node": nodes, "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)}
-
-    return arrow_map(docs.select(F.col(text_col).alias("text")), run, KEYS)
-
-
-def candidate_clusters(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
     """(node, cluster) of sets that the bitmaps' bound connects with another set under some key.
 
-    All steps up to the written meetings share the one shuffle by key.
+    Rows by key are read twice, first to count and then to keep the few that share a
+    key; every shuffle is either pre-aggregated or spread by more than the key.
     """
-    same_key = Window.partitionBy("key")
-    met = keyed.select("node", F.explode("keys").alias("key"))
-    met = met.withColumns({"lo": F.min("node").over(same_key), "hi": F.max("node").over(same_key)}).where("lo <> hi")
-    met = met.select("key", "node", "lo").distinct()
-    hashed = [F.bit_xor(F.xxhash64("node", F.lit(i))).over(same_key).alias(f"h{i}") for i in (1, 2)]
-    met = materialize(met.select("key", "node", "lo", F.count("*").over(same_key).alias("m"), *hashed), "meetings")
+    keyed = sets.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows"))
+    shared = materialize(shared.where("lo <> hi").select("key", "rows"), "shared-keys")
+    met = materialize(join_counted(keyed, shared, ["key"]).select("key", "node").distinct(), "meetings")
+    hashed = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    company = met.groupBy("key").agg(F.count("*").alias("m"), *hashed)
     # Near copies meet under many keys in the same company; one meeting of each company is enough.
-    once = met.where("node = lo").groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    met = met.select("key", "node").join(once, "key", "left_semi")
-    maps = sets.where("bits IS NOT NULL").groupBy("digest", "node", "n").agg(F.first("bits").alias("payload"))
-    members = met.join(maps, "node").select(F.col("key").alias("cluster"), F.col("node").alias("rep"), F.lit(0).alias("band"), "n", "payload")
-    return components(connect(members, percent, exact=False)).withColumnRenamed("component", "cluster")
+    once = company.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m", F.col("m").alias("rows"))
+    once = materialize(once, "companies")
+    maps = sets.where("bits IS NOT NULL").groupBy("node", "n").agg(F.first("bits").alias("payload"))
+    members = join_counted(met, once, ["key"]).join(maps, "node")
+    members = members.select(F.col("key").alias("cluster"), "m", F.col("node").alias("rep"), F.lit(0).alias("band"), "n", "payload")
+    members = materialize(members, "members")
+    release(shared, met, once)
+    found = components(connect(members, percent, exact=False)).withColumnRenamed("component", "cluster")
+    release(members)
+    return found
 
 
 def bound(sizes: np.ndarray, other_size: int, maps: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -336,26 +326,25 @@ def _links(members: DataFrame, percent: int, exact: bool, calls: int) -> DataFra
 
 
 def connect(members: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Links among the members (cluster, rep, band, n, payload) of each cluster, enough to connect all that links connect.
+    """Links among the members (cluster, m, rep, band, n, payload) of each cluster of m, enough to connect all that links connect.
 
     Clusters of up to two blocks are one tile. Larger ones are cut into blocks by band and
     hash. A first pass connects each block's members and a few pivots that stand in every
     block; clusters that it leaves in several pieces go on to tiles of two blocks, where
-    only members of different pieces are compared.
+    only members of different pieces are compared. ``members`` is a written table.
     """
-    members = materialize(members, "members")
-    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1"), "cluster-sizes")
     calls = lambda df: max(1, int((df.agg(F.sum(F.octet_length("payload") + 48)).first()[0] or 0) / CALL_BYTES) + 1)
-    small = members.join(sizes.where(F.col("m") <= 2 * BLOCK).select("cluster"), "cluster", "left_semi")
-    links = materialize(_links(small.withColumns({"tile": F.lit(""), "label": F.col("rep")}), percent, exact, calls(members)), "links")
-    large = sizes.where(F.col("m") > 2 * BLOCK).select("cluster")
-    if large.isEmpty():
+    fits = F.col("m") <= 2 * BLOCK
+    small = members.where(fits).withColumns({"tile": F.lit(""), "label": F.col("rep")})
+    links = materialize(_links(small, percent, exact, calls(members)), "links")
+    big = members.where(~fits)
+    if big.isEmpty():
         return links
 
-    big = members.join(large, "cluster", "left_semi")
-    blocks = materialize(big.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    blocks = big.groupBy("cluster", "band").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "blocks")
     total = blocks.groupBy("cluster").agg(F.sum("blocks").alias("all"))
-    big = big.join(blocks, ["cluster", "band"]).join(total, "cluster")
+    big = join_counted(big, materialize(blocks.join(total, "cluster"), "blocks"), ["cluster", "band"])
     big = materialize(big.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "large-clusters")
     tile = F.concat_ws("-", "band", "block")
     # About a block's worth of members, by another hash, of which the first few are the pivots.
@@ -366,21 +355,58 @@ def connect(members: DataFrame, percent: int, exact: bool) -> DataFrame:
     first = big.select("cluster", tile.alias("tile"), "rep", "n", "payload").unionByName(places.join(stands, "cluster"))
     first = materialize(first.withColumn("label", F.col("rep")), "blocks-with-pivots")
     links = links.unionByName(materialize(_links(first, percent, exact, calls(first)), "links"))
+    release(first)
 
     labels = components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    tagged = big.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = tagged.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
-    tagged = materialize(tagged.join(open_, "cluster", "left_semi"), "open-clusters")
-    if tagged.isEmpty():
+    tagged = materialize(big.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled-clusters")
+    ends = tagged.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    if ends.isEmpty():
         return links
-    beside = blocks.select("cluster", F.col("band").alias("other"), F.col("blocks").alias("other_blocks"))
-    paired = tagged.join(beside, "cluster").where(F.abs(F.col("other") - F.col("band")) <= 1)
-    paired = paired.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-    mine, theirs = F.struct("band", "block"), F.struct(F.col("other").alias("band"), F.col("at").alias("block"))
-    paired = paired.where(mine != theirs)
-    tile = F.concat_ws("+", F.least(mine, theirs).cast("string"), F.greatest(mine, theirs).cast("string"))
+    others = blocks.groupBy("cluster").agg(F.collect_list(F.struct(F.col("band").alias("band"), F.col("blocks").alias("blocks"))).alias("others"))
+    tagged = join_counted(tagged, materialize(ends.join(others, "cluster").select("cluster", "others", "rows"), "open-clusters"), ["cluster"])
+    beside = F.filter("others", lambda o: F.abs(o["band"] - F.col("band")) <= 1)
+    ways = F.flatten(F.transform(beside, lambda o: F.transform(F.sequence(F.lit(0), o["blocks"] - 1), lambda k: F.struct(o["band"].alias("band"), k.alias("block")))))
+    paired = tagged.withColumn("theirs", F.explode(ways))
+    mine = F.struct("band", "block")
+    paired = paired.where(mine != F.col("theirs"))
+    tile = F.concat_ws("+", F.least(mine, "theirs").cast("string"), F.greatest(mine, "theirs").cast("string"))
     second = materialize(paired.select("cluster", tile.alias("tile"), "rep", "n", "payload", "label"), "block-pairs")
-    return links.unionByName(materialize(_links(second, percent, exact, calls(second)), "links"))
+    links = links.unionByName(materialize(_links(second, percent, exact, calls(second)), "links"))
+    release(second)
+    return links
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """One row per distinct set: digest, node, n, m (its rows), first_id (the smallest id) and source, the row that its text is loaded from."""
+    source = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    return sets.where("n > 0").groupBy("digest", "node", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m"), F.min(source).alias("source"))
+
+
+def _candidates(docs: DataFrame, sets: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The members (cluster, m, rep, band, n, payload) that the exact pass compares, as a written table."""
+    clusters = materialize(candidate_clusters(sets, percent), "clusters")
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("m")).select("cluster", "m", F.col("m").alias("rows"))
+    clusters = join_counted(clusters, materialize(size, "cluster-sizes"), ["cluster"])
+    bound_array = F.array(*[F.lit(b).cast("long") for b in bands_of(percent).bounds])
+    wanted = classes.join(clusters.withColumnRenamed("m", "members"), "node")
+    wanted = wanted.withColumn("band", F.size(F.filter(bound_array, lambda b: b <= F.col("n"))) - 1)
+    wanted = wanted.select("digest", "source", F.col("node").alias("rep"), "cluster", F.col("members").alias("m"), "n", "band")
+    wanted = materialize(wanted, "candidates")
+    members = materialize(_load(docs, wanted, n, id_col, text_col), "members")
+    if members.count() == wanted.count():
+        return members
+    # Exact copies that share an id, or have none, were all read; one stays.
+    keep = [c for c in members.columns if c != "payload"]
+    return materialize(members.groupBy(*keep).agg(F.first("payload").alias("payload")), "members")
+
+
+def _name(sets: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with component_id, the smallest id among the classes that links connect."""
+    tagged = materialize(classes.join(components(links), "node", "left"), "tagged-classes")
+    alone, some = tagged.where("component IS NULL"), tagged.where("component IS NOT NULL")
+    firsts = some.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("rows"))
+    named = join_counted(some, materialize(firsts, "component-ids"), ["component"])
+    return named.unionByName(alone.withColumn("component_id", F.col("first_id")))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,63 +415,54 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Two texts link when their sets of word n-grams have a Jaccard similarity of at least
     ``percent`` hundredths; the component is the smallest id reachable by links, the text's
     own included. Texts without words (null and empty ones too) have an empty set and
-    link with nothing. Rows with a null id take part; a component of such rows alone has
-    a null component. Ids must be below 2^62.
+    link with nothing. Sets are told apart by their content, so ids may repeat: the texts of one id link each
+    for itself. Rows with a null id take part; a component of such rows alone has
+    a null component. Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    sets = materialize(shingle_sets(docs, n, id_col, text_col), "shingle-sets")
-    some = sets.where("n > 0")
-    classes = some.groupBy("digest", "node", "n").agg(F.min("doc_id").alias("first_id"))
-    stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
-    classes = classes.withColumn("rep", F.coalesce("first_id", stand_in))
-
-    clusters = candidate_clusters(sets, set_keys(docs, n, percent, text_col), percent)
-    bands = bands_of(percent)
-    bound_array = F.array(*[F.lit(b).cast("long") for b in bands.bounds])
-    wanted = classes.join(clusters, "node").select("digest", "first_id", "rep", "cluster", "n")
-    wanted = materialize(wanted.withColumn("band", F.size(F.filter(bound_array, lambda b: b <= F.col("n"))) - 1), "candidates")
-    links = _compare(docs, wanted, n, percent, id_col, text_col)
-
-    found = components(links)
-    named = materialize(classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component")), "components")
-    if named.count() * 48 <= BROADCAST_BYTES:
-        named = F.broadcast(named)
-    out = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("component") < NO_ID, F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    sets = materialize(shingle_sets(docs, n, percent, id_col, text_col), "shingle-sets")
+    classes = materialize(_classes(sets), "classes")
+    members = _candidates(docs, sets, classes, n, percent, id_col, text_col)
+    named = _name(sets, classes, connect(members, percent, exact=True))
+    release(members)
+    named = materialize(named.select("digest", "component_id", F.col("m").alias("rows")), "components")
+    some = join_counted(sets.where("n > 0").select("doc_id", "n", "digest"), named, ["digest"])
+    none = sets.where("n = 0").select("doc_id", "n", "digest", F.col("doc_id").alias("component_id"))
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, but only one of each component: that with the smallest id.
 
     Where ids repeat or are null, rows are numbered in a written copy first and the first of each component
-    stays. Rows without words all stay.
+    stays. Rows without words all stay. Columns may have any names.
     """
     ids = docs.agg(F.count("*"), F.count(id_col), F.count_distinct(id_col)).first()
-    key = id_col
+    columns, key = docs.columns, id_col
     if len(set(ids)) > 1:
-        key = "__row"
+        key = unused(docs, "row")[0]
         docs = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     found = jaccard_classes(docs, n, percent, key, text_col)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "duplicates")
-    if gone.count() * 24 <= BROADCAST_BYTES:
+    gone_id = unused(docs, "gone")[0]
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)), "duplicates")
+    if gone.count() * 64 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")
-    return kept.drop(key) if key == "__row" else kept
-
-
-def _compare(docs: DataFrame, wanted: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links among candidates (digest, first_id, rep, cluster, n, band), enough to connect all components."""
-    return connect(_load(docs, wanted, n, id_col, text_col), percent, exact=True)
+    kept = docs.join(gone, F.col(key).cast("long") == F.col(gone_id), "left_anti")
+    return kept.select(*columns)
 
 
 def _load(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Candidates (digest, first_id, rep, cluster, n, band) with their sets as payload."""
-    keys = wanted.select(F.coalesce("first_id", F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"), "cluster", "rep", "band", "n")
-    if wanted.count() * 96 <= BROADCAST_BYTES:
+    """Candidates (digest, source, rep, cluster, m, n, band) with their sets as payload.
+
+    A candidate's text is found by id and text hash together, so rows without an id don't
+    meet each other; exact copies that also share the id are all read.
+    """
+    keep = ["cluster", "m", "rep", "band", "n"]
+    keys = wanted.select(F.col("source.text_hash").alias("text_hash"), F.coalesce("source.doc_id", F.lit(0)).alias("id"), F.col("source.no_id").alias("no_id"), "digest", *keep)
+    if wanted.count() * 160 <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text_col).alias("text"))
-    schema = T.StructType([*wanted.select("cluster", "rep", "band", "n").schema.fields, T.StructField("payload", T.BinaryType())])
+    own, text = F.col(id_col).cast("long"), F.col(text_col)
+    rows = docs.select(F.xxhash64(text).alias("text_hash"), F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("no_id"), text.alias("text"))
+    schema = T.StructType([*wanted.select(*keep).schema.fields, T.StructField("payload", T.BinaryType())])
 
     def run(batches):
         hashes = WordHashes()
@@ -459,8 +476,7 @@ def _load(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
                         out[name].append(value)
             yield out
 
-    loaded = rows.join(keys, "__id").select("text", "__digest", "cluster", "rep", "band", "n")
-    return arrow_map(loaded, run, schema)
+    return arrow_map(rows.join(keys, ["text_hash", "id", "no_id"]).select("text", "digest", *keep), run, schema)
 
 
 def links_of_tile(own: bool, left: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -486,12 +502,11 @@ def links_of_tile(own: bool, left: np.ndarray, ids: np.ndarray, sets: list[np.nd
 
 
 def every_link(members: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) among the members (cluster, rep, band, n, payload) of each cluster, each once.
+    """All links (a, b) among the members (cluster, m, rep, band, n, payload) of each cluster, each once.
 
     Clusters are cut into blocks by band and hash; a tile is one block or two of the same
     or neighbouring bands, and every pair of sets that can link stands in exactly one.
     """
-    members = materialize(members, "members")
     blocks = materialize(members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     tagged = members.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     beside = blocks.select("cluster", F.col("band").alias("other"), F.col("blocks").alias("other_blocks"))
@@ -523,25 +538,15 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     """The rows of ``jaccard_classes`` with n_links: the number of other rows whose texts link with the row's.
 
     Here all candidate pairs of classes are compared, also those already connected, and a
-    link with a class counts as many times as the class has rows. Classes are told apart by digest, so ids may repeat.
+    link with a class counts as many times as the class has rows.
     """
-    sets = materialize(shingle_sets(docs, n, id_col, text_col), "shingle-sets")
-    classes = sets.where("n > 0").groupBy("digest", "node", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m"))
-    classes = materialize(classes, "classes")
-    clusters = candidate_clusters(sets, set_keys(docs, n, percent, text_col), percent)
-    bound_array = F.array(*[F.lit(b).cast("long") for b in bands_of(percent).bounds])
-    wanted = classes.join(clusters, "node").select("digest", "first_id", F.col("node").alias("rep"), "cluster", "n")
-    wanted = materialize(wanted.withColumn("band", F.size(F.filter(bound_array, lambda b: b <= F.col("n"))) - 1), "candidates")
-    links = every_link(_load(docs, wanted, n, id_col, text_col), percent)
-
+    sets = materialize(shingle_sets(docs, n, percent, id_col, text_col), "shingle-sets")
+    classes = materialize(_classes(sets), "classes")
+    links = every_link(_candidates(docs, sets, classes, n, percent, id_col, text_col), percent)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(classes.select(F.col("node").alias("b"), "m"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("linked"))
-    tagged = classes.join(components(links), "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = tagged.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = tagged.join(firsts, "component").select("digest", "component_id", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    named = materialize(named, "components")
-    if named.count() * 56 <= BROADCAST_BYTES:
-        named = F.broadcast(named)
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = _name(sets, classes, links).join(linked, "node", "left")
+    named = named.select("digest", "component_id", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.col("m").alias("rows"))
+    some = join_counted(sets.where("n > 0").select("doc_id", "n", "digest"), materialize(named, "components"), ["digest"])
+    none = sets.where("n = 0").select("doc_id", "n", "digest", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -55,6 +56,15 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes scratch tables that ``materialize`` made and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path in _written:
+            drop_table(table.sparkSession, path)
+            _written.remove(path)
+
+
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -65,7 +75,37 @@ def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame
         path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _written.append(path)
     df.write.option("compression", "zstd").mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that a column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: str = "rows") -> DataFrame:
+    """Inner join on ``on`` in which no key's rows pile up in one task.
+
+    ``right`` has one row a key; its column ``rows``, which doesn't come along, says how
+    many rows of ``left`` the key has. While it is small, all of it is broadcast. Beyond that only keys
+    with more than a 4,096th of all rows are, of which there are fewer than 4,096; the others are shuffled.
+    """
+    n, total = right.agg(F.count("*"), F.coalesce(F.sum(rows), F.lit(0))).first()
+    if n * 96 <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right.drop(rows)), on)
+    limit = max(64, total // 4096)
+    heavy = right.where(F.col(rows) > limit)
+    hot = left.join(F.broadcast(heavy.drop(rows)), on)
+    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.where(F.col(rows) <= limit).drop(rows), on)
+    return hot.unionByName(rest)
 
 
 def _bound_batches(spark: SparkSession) -> None:

@@ -109,12 +109,49 @@ def test_linked_sets_share_a_key():
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text), (2, text + " more"), (2, text + " more"), (None, text), (5, ""), (6, None), (7, "other words entirely here now")]
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, component long")
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row long")
     kept = jaccard.one_of_each(df)
     assert kept.columns == df.columns and sum(1 for r in kept.collect() if r.text and "w1" in r.text) == 1
     assert {r.doc_id for r in kept.collect()} >= {5, 6, 7}
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    from lacuna.llm import runtime
+
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", -1)
+    rows = families(9, 40, 6, 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(jaccard.jaccard_classes(df, 4, 85)) == brute(rows, 4, 85)
+
+
+def test_rows_without_ids_and_with_one_id(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        text[rng.randrange(60)] = f"x{i % 200}"
+        rows.append((None if i % 2 else 7, " ".join(text)))
+    rows.append((3, "of its own " * 20))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(jaccard.jaccard_classes(df, 4, 85)) == brute(rows, 4, 85)
+
+
+def test_large_stars(spark):
+    edges = [(1_000_000 + i, i % 3) for i in range(3000)] + [(2_000_000 + i, 1_000_000 + i) for i in range(500)] + [(0, 1)]
+    want = {n: 0 if c < 2 else 2 for n, c in [(x, i % 3) for i in range(3000) for x in ((1_000_000 + i), i % 3)]}
+    want |= {2_000_000 + i: want[1_000_000 + i] for i in range(500)}
+    assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_components_without_broadcasts(spark, monkeypatch):
+    from lacuna.llm import runtime
+
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    test_large_stars(spark)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (None, 4), (3, 1), (30, 31), (31, 32), (32, 33), (33, 34), (34, 35)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
