@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .runtime import BROADCAST_BYTES, arrow_map, chunks, join_counted, materialize, release, unused
+from .runtime import BROADCAST_BYTES, arrow_map, chunks, join_counted, materialize, release, spread, unused
 
 #: Sets in a block of a large group; a tile holds two blocks at most.
 BLOCK = 512
@@ -213,7 +213,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
             yield out | {"doc_id": batch.column(0), "text_hash": batch.column(1), "keys": lists}
 
-    return arrow_map(rows, run, SETS)
+    return arrow_map(spread(rows), run, SETS)
 
 
 def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import bytebpe
 from .cutting import plan
-from .runtime import BROADCAST_BYTES, arrow_map, chunks, materialize
+from .runtime import BROADCAST_BYTES, arrow_map, chunks, materialize, spread
 
 SEQUENCE = 1024
 #: Ids a pattern may leave empty at the end of a sequence.
@@ -115,7 +115,7 @@ def place_documents(docs: DataFrame, tokenizer: str, sequence: int, slack: int,
                 out, size = {f.name: [] for f in PLACED}, 0
         yield out
 
-    return arrow_map(rows, run, PLACED)
+    return arrow_map(spread(rows), run, PLACED)
 
 
 def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, slack: int = SLACK, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", buffer: int = BUFFER) -> DataFrame:

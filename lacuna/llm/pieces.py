@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import arrow_map, chunks
+from .runtime import arrow_map, chunks, spread
 
 SPACE = "▁"
 # The model file's enumerations.
@@ -369,7 +369,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             ids = [codec.encode(x) for x in texts]
             yield {"doc_id": batch.column(0), "n_bytes": [len(x.encode()) for x in texts], "n_ids": [len(x) // width for x in ids], "ids": ids}
 
-    return arrow_map(rows, run, ENCODED)
+    return arrow_map(spread(rows), run, ENCODED)
 
 
 def decode_pieces(encoded: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:

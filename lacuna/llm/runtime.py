@@ -17,6 +17,9 @@ from pyspark.sql.types import StructType
 #: Sides up to this many bytes are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 48 << 20
 
+#: Tables up to this many bytes are dealt over all cores before costly maps.
+SMALL_BYTES = 64 << 20
+
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 2_000
 
@@ -114,6 +117,12 @@ def _bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few bytes dealt over all cores; it may lie in a single row group, which one task would read."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: StructType) -> DataFrame:
     """``mapInArrow`` for functions that yield dicts of column lists."""
     target = to_arrow_schema(schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytebpe
-from .runtime import arrow_map, chunks
+from .runtime import arrow_map, chunks, spread
 
 #: Texts in the sample that tier one is filled from, and the longest of them, in characters.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1_000, 8_000
@@ -134,7 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 "n_tokens": [count(x) if x else 0 for x in texts],
             }
 
-    return arrow_map(rows, run, SCHEMA)
+    return arrow_map(spread(rows), run, SCHEMA)
 
 
 def _model_counter(shared):
