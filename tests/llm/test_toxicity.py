@@ -113,3 +113,35 @@ def test_only_near_copies_count_once(spark):
     kept = toxicity._families(spark.createDataFrame(rows, "__id long, label int, text string")).collect()
     assert sorted(r["__id"] for r in kept if r["__id"] < 100) == list(range(12))
     assert sorted(r.label for r in kept if r["__id"] >= 100) == [0, 1]
+
+
+def test_weights_that_are_not_broadcast_judge_the_same(spark, monkeypatch):
+    from lacuna.llm import runtime
+
+    docs, labels = corpus(300)
+    rows = [*docs, (5, None, "x"), (5, "", "x"), (None, docs[0][1], "x"), (None, docs[0][1], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, weights string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    at_once = toxicity.fit(df, lab)
+    want = sorted((repr(r.doc_id), round(r.score, 9), r.predicted) for r in toxicity.score(df, at_once).collect())
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    joined = toxicity.fit(df, lab)
+    assert joined.path and not joined.weights and at_once.weights
+    assert sorted((repr(r.doc_id), round(r.score, 9), r.predicted) for r in toxicity.score(df, joined).collect()) == want
+    kept = toxicity.clean_documents(df, joined)
+    assert kept.columns == df.columns and kept.count() == sum(not p for *_, p in want)
+
+
+def test_ids_with_both_labels_are_toxic(spark):
+    docs, labels = corpus(400)
+    df = spark.createDataFrame(docs, "doc_id long, text string, label string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    both = lab.unionByName(lab.withColumn("toxic", lab.toxic * 0)).unionByName(spark.createDataFrame([(None, 1), (3, None), (3, 7)], lab.schema))
+    assert toxicity.fit(df, both).weights == toxicity.fit(df, lab).weights
+
+
+def test_words_of_every_script():
+    assert toxicity.words("Ab, c-D") == [b"ab", b"c", b"d"]
+    assert toxicity.words("x很坏的y") == [b"x", *(w.encode() for w in ("很坏", "坏的")), b"y"]
+    long = "z" * 100
+    assert toxicity.features(long.encode())[0] != toxicity.features((long + "z").encode())[0] and len(toxicity.features(long.encode())[0]) == 17
