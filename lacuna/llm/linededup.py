@@ -1,11 +1,13 @@
 """Line dedup over sharded cuckoo filters backed by exact reference-count tables.
 
-Every document's line keys go into an exact reference table (shard, key, doc_id, sign):
+Every document's line keys go into an exact reference table (key, doc_id, sign):
 an insertion appends +1 rows, a deletion of documents appends -1 rows, so each step can be
-taken back. Counts per key follow from it. A key is marked when enough documents hold it;
-each shard keeps its marked keys in a cuckoo filter, which is edited, not rebuilt, as
+taken back. Counts per key follow from it. A key is marked when enough documents hold it.
+Marked keys are dealt over shards by hash, more shards the more keys, so that each is of bounded
+size; each keeps its keys in a cuckoo filter, which is edited, not rebuilt, as
 keys gain or lose the mark. Applying the index tests references against the filters
-first; only hits are joined with the exact table, which has the last word.
+first, at any size: all filters are broadcast while they are small, beyond that
+references meet their shard's filter. Only hits are joined with the exact table, which has the last word.
 """
 
 from __future__ import annotations
@@ -20,16 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import runtime
 from .cuckoo import CuckooFilter
-from .runtime import BROADCAST_BYTES, arrow_map, chunks, materialize
+from .runtime import arrow_map, chunks, join_counted, materialize, spread, unused
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARDS = 64
+#: Shards of an index at least, and marked keys of a shard at most, on average.
+SHARDS, SHARD_KEYS = 16, 32_768
+#: References that meet a copy of their shard's filter in one group.
+GROUP_REFS = 250_000
 #: Stripped at both ends of a line.
 BLANK = b" \t\n\x0b\x0c\r"
 
-REFS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("sign", T.IntegerType())])
+REFS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("sign", T.IntegerType())])
 FILTERS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("filter", T.BinaryType())])
 
 
@@ -44,23 +50,26 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
     return xxhash.xxh3_128_digest(line)
 
 
-def references(docs: DataFrame, sign: int = 1, shards: int = SHARDS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def references(docs: DataFrame, sign: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct long line key of each row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in chunks(batches, "text"):
-            out: dict = {"shard": [], "key": [], "doc_id": []}
+            out: dict = {"key": [], "doc_id": []}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or len(text) < min_chars:
                     continue
                 keys = {k for x in text.encode().split(b"\n") if len(x) >= min_chars and (k := line_key(x, min_chars))}
                 out["key"] += keys
-                out["shard"] += [int.from_bytes(k[-4:]) % shards for k in keys]
                 out["doc_id"] += [doc] * len(keys)
             yield out | {"sign": [sign] * len(out["key"])}
 
-    return arrow_map(rows, run, REFS)
+    return arrow_map(spread(rows), run, REFS)
+
+
+def shard_of(key, shards: int):
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
 class LineIndex:
@@ -73,7 +82,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, shards: int = SHARDS, min_chars: int = MIN_CHARS):
         self.spark, self.min_docs, self.shards, self.min_chars = spark, min_docs, shards, min_chars
         self.refs = spark.createDataFrame([], REFS)
-        self.marked = spark.createDataFrame([], "shard int, key binary, n_docs long, keeper long")
+        self.marked = spark.createDataFrame([], "key binary, n_docs long, keeper long")
         self.filters = spark.createDataFrame([], FILTERS)
         self._empty = True
 
@@ -86,19 +95,28 @@ class LineIndex:
 
     def _update(self, docs: DataFrame, sign: int, **cols) -> LineIndex:
         new = LineIndex(self.spark, self.min_docs, self.shards, self.min_chars)
-        added = materialize(references(docs, sign, self.shards, self.min_chars, **cols), "line-refs")
+        added = materialize(references(docs, sign, self.min_chars, **cols), "line-refs")
         new.refs = added if self._empty else self.refs.unionByName(added)
         new._empty = False
-        live = new.refs.groupBy("shard", "key", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0")
-        counted = live.groupBy("shard", "key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        live = new.refs.groupBy("key", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0")
+        counted = live.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         new.marked = materialize(counted.where(F.col("n_docs") >= self.min_docs), "line-counts")
-        new.filters = materialize(self._edit_filters(new.marked), "line-filters")
+        n = new.marked.count()
+        while n > new.shards * SHARD_KEYS:
+            new.shards *= 2
+        new.filters = materialize(self._edit_filters(new), "line-filters")
         return new
 
-    def _edit_filters(self, marked: DataFrame) -> DataFrame:
-        """Per shard: deletes keys that lost the mark and inserts keys that gained it; a full filter is made anew."""
-        before = self.marked.select("shard", "key", F.lit(1).alias("old"))
-        both = before.join(marked.select("shard", "key", F.lit(1).alias("new")), ["shard", "key"], "full").fillna(0, ["old", "new"])
+    def _edit_filters(self, new: LineIndex) -> DataFrame:
+        """Per shard of ``new``: deletes keys that lost the mark and inserts keys that gained it.
+
+        A full filter is made anew, and so are all when there are more shards than before.
+        """
+        same = new.shards == self.shards
+        before = (self.marked if same else self.marked.where("false")).select("key", F.lit(1).alias("old"))
+        both = before.join(new.marked.select("key", F.lit(1).alias("new")), "key", "full").fillna(0, ["old", "new"])
+        both = both.withColumn("shard", shard_of("key", new.shards))
+        filters = self.filters if same else self.filters.where("false")
 
         def edit(key, filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             gained, lost, now = (_matrix(keys["key"][x]) for x in (keys["new"] > keys["old"], keys["new"] < keys["old"], keys["new"] == 1))
@@ -111,51 +129,66 @@ class LineIndex:
                 made = CuckooFilter.of(now)
             return pd.DataFrame({"shard": pd.Series([key[0]], dtype="int32"), "filter": [made.to_bytes()]})
 
-        return self.filters.groupBy("shard").cogroup(both.groupBy("shard")).applyInPandas(edit, FILTERS)
+        return filters.groupBy("shard").cogroup(both.groupBy("shard")).applyInPandas(edit, FILTERS)
 
     def hits(self) -> DataFrame:
-        """Live references (shard, key, doc_id) whose key the shard's filter holds.
+        """Live references (key, doc_id) whose key the shard's filter holds."""
+        refs = self.refs.withColumn("shard", shard_of("key", self.shards))
+        size = self.filters.agg(F.sum(F.octet_length("filter") + 64)).first()[0] or 0
+        held = self._asked_at_once(refs) if size <= runtime.BROADCAST_BYTES else self._asked_by_shard(refs)
+        return held.groupBy("key", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
-        Filters are broadcast while they are small; beyond that every reference goes to
-        the exact table, which decides in either case.
-        """
-        refs = self.refs
-        size = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-        if size <= BROADCAST_BYTES:
-            shared = self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
-
-            def run(batches):
-                filters = {k: CuckooFilter.from_bytes(v) for k, v in shared.value.items()}
-                for batch in batches:
-                    shard = batch.column(0).to_numpy()
-                    keys = _matrix(batch.column(1).to_pylist())
-                    keep = np.zeros(len(shard), bool)
-                    for s, at in _groups(shard):
-                        if s in filters:
-                            keep[at] = filters[s].contains(keys[at])
-                    kept = batch.filter(pa.array(keep))
-                    yield {f.name: kept.column(i) for i, f in enumerate(REFS)}
-
-            refs = arrow_map(refs, run, REFS)
-        return refs.groupBy("shard", "key", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+    def _asked_at_once(self, refs: DataFrame) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
+
+        def run(batches):
+            filters = {k: CuckooFilter.from_bytes(v) for k, v in shared.value.items()}
+            for batch in batches:
+                shard, keys = batch.column(3).to_numpy(), _matrix(batch.column(0).to_pylist())
+                keep = np.zeros(len(shard), bool)
+                for s, at in _groups(shard):
+                    if s in filters:
+                        keep[at] = filters[s].contains(keys[at])
+                kept = batch.filter(pa.array(keep))
+                yield {f.name: kept.column(i) for i, f in enumerate(REFS)}
+
+        return arrow_map(refs, run, REFS)
+
+    def _asked_by_shard(self, refs: DataFrame) -> DataFrame:
+        """Groups of a bounded number of references, each with a copy of its shard's filter."""
+        groups = max(1, int((refs.count() / self.shards) / GROUP_REFS) + 1)
+        part = (F.col("shard").cast("long") * groups + F.pmod(F.xxhash64("key", "doc_id", "sign"), F.lit(groups))).alias("part")
+        copies = self.filters.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("at"), "shard", "filter")
+        copies = copies.select((F.col("shard").cast("long") * groups + F.col("at")).alias("part"), "filter")
+        target = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("sign", pa.int32())])
+
+        def ask(own: pa.Table, filters: pa.Table) -> pa.Table:
+            if not len(own) or not len(filters):
+                return target.empty_table()
+            made = CuckooFilter.from_bytes(filters.column("filter")[0].as_py())
+            keep = made.contains(_matrix(own.column("key").to_pylist()))
+            return own.select(target.names).filter(pa.array(keep)).cast(target)
+
+        return refs.select(part, "key", "doc_id", "sign").groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(ask, REFS)
 
     def drops(self) -> DataFrame:
         """doc_id and the keys whose lines it loses: marked keys of which it isn't the keeper."""
-        exact = self.marked.select("shard", "key", "keeper")
-        found = self.hits().join(exact, ["shard", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        exact = self.marked.select("key", "keeper", F.col("n_docs").alias("rows"))
+        found = join_counted(self.hits(), exact, ["key"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         return found.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, ...] = ("n_lines", "n_dropped")) -> DataFrame:
-        """``docs`` with the lines its documents lose taken out, and and the numbers of lines before and dropped in columns named ``counts``, or neither.
+        """``docs`` with the lines its documents lose taken out, and the numbers of lines before and dropped in columns named ``counts``, or neither.
 
         Lines split at line feeds; a null or empty text is one empty line and stays as it
-        is. A text without losses is unchanged. ``docs`` must not hold columns named as ``counts``.
+        is. A text without losses is unchanged. ``docs`` must not hold columns named as ``counts``; other names are free.
         """
-        drops = materialize(self.drops().select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys")), "line-drops")
-        size = drops.agg(F.sum(F.size("__keys") * 16 + 32)).first()[0] or 0
-        if size <= BROADCAST_BYTES:
+        own_id, own_keys = unused(docs, "id", "keys")
+        drops = materialize(self.drops().select(F.col("doc_id").alias(own_id), F.col("keys").alias(own_keys)), "line-drops")
+        size = drops.agg(F.sum(F.size(own_keys) * 32 + 96)).first()[0] or 0
+        if size <= runtime.BROADCAST_BYTES:
             drops = F.broadcast(drops)
-        joined = docs.join(drops, docs[id_col].cast("long").eqNullSafe(drops["__id"]), "left").drop("__id")
+        joined = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)), "left").select(*docs.columns, own_keys)
         own = docs.schema.fields
         fields = own + [T.StructField(x, T.LongType()) for x in counts]
         at, min_chars = docs.columns.index(text_col), self.min_chars
@@ -195,7 +228,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     """Inserts all of ``docs`` into a new index and applies it to them.
 
     Lines whose key has at least ``min_chars`` code points and is found in at least
-    ``min_docs`` documents stay only in the document with the largest id.
+    ``min_docs`` documents stay only in the document with the largest id. Rows with one id are one document;
+    rows without an id are one that sorts before all others. Null and empty texts stay as they are; an empty table gives no rows.
     """
     index = LineIndex(docs.sparkSession, min_docs, SHARDS, min_chars).insert(docs, id_col=id_col, text_col=text_col)
     return index.apply(docs, id_col, text_col, counts)

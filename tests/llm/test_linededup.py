@@ -1,17 +1,17 @@
-import re
+import hashlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from lacuna.llm import linededup
+from lacuna.llm import linededup, queries, runtime
 from lacuna.llm.cuckoo import CuckooFilter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def key(line):
-    return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate(LOWER)
+    return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
 
 
 def brute(rows, apply_to=None, min_docs=5, min_chars=40):
@@ -61,10 +61,38 @@ def test_deletion_takes_an_insertion_back(spark, lines):
     assert found(index.apply(first)) == before == brute(rows[:40])
 
 
-def test_hits_without_filters_decide_the_same(spark, lines, monkeypatch):
+def test_filters_are_asked_at_any_size(spark, lines, monkeypatch):
     rows, docs = lines
-    monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
-    assert found(linededup.dedup_lines(docs)) == brute(rows)
+    index = linededup.LineIndex(spark, shards=4).insert(docs)
+    at_once = sorted((bytes(r.key), r.doc_id) for r in index.hits().collect())
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(linededup, "GROUP_REFS", 10)
+    assert sorted((bytes(r.key), r.doc_id) for r in index.hits().collect()) == at_once and len(at_once) < index.refs.count()
+    assert found(index.apply(docs)) == brute(rows)
+    index.filters = index.filters.where("false")
+    assert index.hits().count() == 0
+
+
+def test_shards_follow_the_marked_keys(spark, lines, monkeypatch):
+    rows, docs = lines
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 3)
+    first = linededup.LineIndex(spark, shards=1).insert(docs.where("doc_id < 20"))
+    index = first.insert(docs.where("doc_id >= 20"))
+    assert index.shards > first.shards and index.marked.count() <= index.shards * 3
+    assert found(index.apply(docs)) == brute(rows)
+
+
+def test_any_column_names(spark, lines):
+    rows, docs = lines
+    odd = docs.withColumns({c: docs.doc_id for c in ("id", "keys", "__id", "__keys", "id_", "key", "shard")})
+    kept = linededup.dedup_lines(odd, counts=("before", "gone"))
+    assert kept.columns == [*odd.columns, "before", "gone"]
+    assert sorted(((r.doc_id, r.before, r.gone, r.text or "") for r in kept.collect()), key=repr) == brute(rows)
+
+
+def test_query(spark, small, some_texts):
+    got = sorted(map(tuple, queries.op3_line_dedup(spark, small).collect()))
+    assert got == sorted((i, n, gone, hashlib.sha256(text.encode()).hexdigest()) for i, n, gone, text in brute(some_texts))
 
 
 def test_cuckoo_filter():
