@@ -21,11 +21,12 @@ from pyspark.sql import types as T
 
 from .runtime import arrow_map, materialize
 
-#: Vectors, the first in the order of a hash of their ids, that the partitions and the router are fitted on.
-SAMPLE = 6_000
-PARTITIONS = 32
+#: Vectors, the first in the order of a hash of their ids, that the partitions and the router are fitted on, and their bytes at most.
+SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
+#: Rows of a partition on average, and the fewest and most partitions; more than the last would need a larger sample.
+PART_ROWS, FEWEST, MOST = 1_024, 8, 256
 #: Recall that the number of partitions asked must reach on the sample's held-out queries.
-RECALL = 0.97
+RECALL = 0.96
 #: Rows, and queries, in a tile.
 ROWS, QUERIES = 8_192, 2_048
 
@@ -130,7 +131,7 @@ class Index:
     probes: int
 
 
-def fit_index(sample: np.ndarray, k: int, parts: int = PARTITIONS, recall: float = RECALL) -> Index:
+def fit_index(sample: np.ndarray, k: int, parts: int = 32, recall: float = RECALL) -> Index:
     """Partitions, router and number of partitions to ask, from distinct sample vectors.
 
     A sample of fewer than 40 vectors a partition gets fewer partitions, down to one.
@@ -166,7 +167,7 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), fine.alias("fine")).where("fine AND vec_id IS NOT NULL").drop("fine")
 
 
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query_row", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -174,14 +175,14 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(-1, dim)
 
 
-def best_in_tile(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k nearest rows of a tile, without the query's own id.
+def best_in_tile(ids: np.ndarray, own: np.ndarray, x: np.ndarray, query_rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k nearest rows of a tile, without the query's own row: (place of the query, id, score).
 
     A fast product picks all rows near the k-th best, ties included; their scores are then
     summed the same way for every pair, so equal vectors have equal scores.
     """
     s = q @ x.T
-    s[query_ids[:, None] == ids[None, :]] = -np.inf
+    s[query_rows[:, None] == own[None, :]] = -np.inf
     n = min(k, x.shape[0])
     edge = np.partition(s, x.shape[0] - n, axis=1)[:, x.shape[0] - n]
     slack = 1e-9 * np.maximum(1.0, np.abs(edge))
@@ -194,15 +195,16 @@ def best_in_tile(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     rows, cols, score = rows[order], cols[order], score[order]
     first = np.searchsorted(rows, rows)
     keep = np.arange(len(rows)) - first < k
-    return query_ids[rows[keep]], ids[cols[keep]], score[keep]
+    return rows[keep], ids[cols[keep]], score[keep]
 
 
-def search(df: DataFrame, is_query, k: int = 20, parts: int = PARTITIONS, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, is_query, k: int = 20, parts: int | None = None, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank from 1, vec_id and score of each query's k nearest rows found.
 
     Queries are the rows that ``is_query`` (a function of the id column) picks;
-    candidates are all rows with another id. Nearness is the inner product in double
-    precision; ties go to the smaller id. Vectors that are null or zero or hold null or
+    candidates are all rows but the query's own, so rows may repeat: each row of a repeated
+    query id gets its own k results, and other rows of its id are candidates. Nearness is the inner product in double
+    precision; ties go to the smaller id. There are about as many partitions as thousands of rows, within bounds. Vectors that are null or zero or hold null or
     non-finite components take no part, nor do rows without an id; vectors of each length
     are searched on their own, among those of the same length. Fewer candidates give fewer rows; an empty table
     gives none. The number of partitions asked is chosen so that ``recall`` is reached
@@ -214,15 +216,20 @@ def search(df: DataFrame, is_query, k: int = 20, parts: int = PARTITIONS, recall
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     near = reduce(DataFrame.unionByName, [_near(vectors.where(F.size("v") == dim), dim, is_query, k, parts, recall) for dim in dims])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _near(vectors: DataFrame, dim: int, is_query, k: int, parts: int, recall: float) -> DataFrame:
-    """(query_id, vec_id, score) of the nearest in each tile, for vectors of one length."""
+def _near(vectors: DataFrame, dim: int, is_query, k: int, parts: int | None, recall: float) -> DataFrame:
+    """(query_id, query_row, vec_id, score) of the nearest in each tile, for vectors of one length."""
     spark = vectors.sparkSession
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    index = fit_index(np.array(chosen.column("v").to_pylist()), k, parts, recall)
+    if parts is None:
+        parts = FEWEST
+        while parts < MOST and parts * PART_ROWS < vectors.count():
+            parts *= 2
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow()
+    index = fit_index(_matrix(chosen.column("v"), dim), k, parts, recall)
     shared = spark.sparkContext.broadcast(index)
 
     placed_type = T.StructType([*vectors.schema.fields, T.StructField("homes", T.ArrayType(T.IntegerType()))])
@@ -234,23 +241,24 @@ def _near(vectors: DataFrame, dim: int, is_query, k: int, parts: int, recall: fl
             order = np.argsort(-scores, axis=1, kind="stable")[:, : held.probes].astype(np.int32)
             yield {"vec_id": batch.column(0), "v": batch.column(1), "homes": [*order]}
 
-    placed = materialize(arrow_map(vectors, place, placed_type), "placed-vectors")
-    rows = placed.select("vec_id", "v", F.col("homes")[0].alias("part"))
-    queries = placed.where(is_query(F.col("vec_id"))).select("vec_id", "v", F.explode("homes").alias("part"))
+    placed = arrow_map(vectors, place, placed_type).withColumn("row", F.monotonically_increasing_id())
+    placed = materialize(placed, "placed-vectors")
+    rows = placed.select("vec_id", "row", "v", F.col("homes")[0].alias("part"))
+    queries = placed.where(is_query(F.col("vec_id"))).select("vec_id", "row", "v", F.explode("homes").alias("part"))
     row_blocks = rows.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("rb"))
     query_blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qb"))
     blocks = F.broadcast(row_blocks.join(query_blocks, "part"))  # a row per partition at most
 
-    own, other = F.monotonically_increasing_id(), F.lit(0)
-    spread = lambda n: F.pmod(F.xxhash64("vec_id", "__row"), F.col(n)).cast("int")
-    left = rows.withColumn("__row", own).join(blocks, "part").select("part", spread("rb").alias("r"), F.explode(F.sequence(other, F.col("qb") - 1)).alias("q"), "vec_id", "v")
-    right = queries.withColumn("__row", own).join(blocks, "part").select("part", F.explode(F.sequence(other, F.col("rb") - 1)).alias("r"), spread("qb").alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(blocks, "part").select("part", dealt("rb").alias("r"), every("qb").alias("q"), "vec_id", "row", "v")
+    right = queries.join(blocks, "part").select("part", every("rb").alias("r"), dealt("qb").alias("q"), F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("v").alias("query"))
 
     def tile(rows_: pa.Table, queries_: pa.Table) -> pa.Table:
-        if len(rows_) and len(queries_):
-            found = best_in_tile(rows_.column("vec_id").to_numpy(), _matrix(rows_.column("v"), dim), queries_.column("query_id").to_numpy(), _matrix(queries_.column("query"), dim), k)
-        else:
-            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
+        if not len(rows_) or not len(queries_):
+            return pa.table({f.name: pa.array([], pa.float64() if f.name == "score" else pa.int64()) for f in FOUND})
+        ids, own, query_ids, query_rows = rows_.column("vec_id").to_numpy(), rows_.column("row").to_numpy(), queries_.column("query_id").to_numpy(), queries_.column("query_row").to_numpy()
+        at, found, score = best_in_tile(ids, own, _matrix(rows_.column("v"), dim), query_rows, _matrix(queries_.column("query"), dim), k)
+        return pa.table({"query_id": query_ids[at], "query_row": query_rows[at], "vec_id": found, "score": score})
 
     return left.groupBy("part", "r", "q").cogroup(right.groupBy("part", "r", "q")).applyInArrow(tile, FOUND)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lacuna.llm import ann
+from lacuna.llm import ann, queries
 
 
 def brute(ids, x, query, k):
@@ -90,3 +90,30 @@ def test_each_length_is_searched(spark):
     assert {r.query_id for r in found} == {20 * i for i in range(30)} | {1000, 1020} and len(found) == 32 * 5
     assert all((r.query_id < 1000) == (r.vec_id < 1000) for r in found)
     assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == 1020] == [1039, 1038, 1037, 1036, 1035]
+
+
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 4)).astype(np.float32).astype(float)
+    ids = np.r_[np.arange(40), [0, 0, 20, 7, 7, 7, 41, 42, 43, 44]]
+    x[40] = x[0]
+    rows = [ann.search(frame(spark, ids, x).repartition(3), lambda i: i % 20 == 0, k=10).collect()][0]
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    for query in (0, 20):
+        want = []
+        for q in np.flatnonzero(ids == query):
+            s = x @ x[q]
+            order = [i for i in np.lexsort((ids, -s)) if i != q][:10]
+            want += [(n + 1, int(ids[i]), round(float(s[i]), 9)) for n, i in enumerate(order)]
+        assert sorted(got[query]) == sorted(want)
+
+
+def test_query_reaches_its_recall(spark, small):
+    for folder in (small, small.replace("sf0.001", "sf0.1")):
+        table = spark.read.parquet(f"{folder}/embeddings.parquet").toArrow()
+        ids = table.column("vec_id").to_numpy()
+        x = np.array(table.column("embedding").to_pylist(), float)
+        found = queries.op8_nearest_neighbours(spark, folder).collect()
+        assert len(found) == 20 * (ids % 20 == 0).sum() and recall(found, ids, x, 20) >= 0.9
