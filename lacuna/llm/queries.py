@@ -26,7 +26,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(_table(spark, sf_dir, "documents"), n_shards=8)
     law = F.lit("bytes").alias("law")
-    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "text_group")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

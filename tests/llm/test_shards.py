@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
-from lacuna.llm import shards
+from lacuna.llm import queries, shards
 
 
 def test_placement(spark, odd, odd_rows):
@@ -30,10 +30,12 @@ def test_empty_table(none):
 def test_rebalancing_edits_few_slots_and_only_off_full_shards():
     size = [(i * 7919) % 97 + 1 for i in range(512)]
     rows = [1] * 512
-    first = shards.balance(size, rows, 8)
+    dealt = shards.SlotMap(1, 8, tuple(i % 8 for i in range(512)), (0,) * 512, (0,) * 512)
+    first = shards.rebalance(dealt, size, rows, tolerance=0.0)
+    assert max(first.loads()) - min(first.loads()) <= max(size) and first.version == 2
     grown = shards.rebalance(first, size, rows, 9)
     moved = [i for i in range(512) if first.shard[i] != grown.shard[i]]
-    assert grown.version == 2 and all(grown.shard[i] == 8 for i in moved) and len(moved) < 512 / 8
+    assert grown.version == 3 and all(grown.shard[i] == 8 for i in moved) and len(moved) < 512 / 8
     loads, mean = grown.loads(), sum(size) / 9
     assert max(loads) - min(loads) < 0.05 * mean
     assert shards.rebalance(first, size, rows).shard == first.shard
@@ -43,5 +45,25 @@ def test_map_versions(spark, small, tmp_path):
     docs, path = spark.read.parquet(f"{small}/documents.parquet"), str(tmp_path / "map")
     a = {r.doc_id: r.shard for r in shards.shard_documents(docs, 4, map_path=path).collect()}
     b = {r.doc_id: r.shard for r in shards.shard_documents(docs, 5, map_path=path).collect()}
-    assert shards.load(spark, path).version == 2 and shards.load(spark, path, 1).n_shards == 4
+    assert shards.load(spark, path).version == 3 and shards.load(spark, path, 2).n_shards == 4
     assert all(b[k] == 4 for k in a if a[k] != b[k]) and any(v == 4 for v in b.values())
+
+
+def test_repeated_rows_are_spread(spark):
+    rows = [(None, "x" * 99)] * 4000 + [(i, "y" * (50 + i % 40)) for i in range(400)] + [(7, "z")] * 300
+    got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8, slots=256).collect()
+    load, slot = Counter(), Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+        slot[r.virtual_slot] += r["size"]
+    assert len(got) == 4700 and max(load.values()) - min(load.values()) <= max(slot.values()) < 6000
+
+
+def test_query(spark, small, some_texts):
+    got = queries.op2_sharding(spark, small).collect()
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None} and {r.map_version for r in got} == {2}
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in some_texts)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[dict(some_texts)[r.doc_id] or ""].add(r.text_group)
+    assert all(len(g) == 1 for g in by_text.values()) and len(set().union(*by_text.values())) == len(by_text)
