@@ -3,7 +3,8 @@
 Aho-Corasick finds every magic string of all formats in one pass over a value. A hit
 only counts when the format's own structure holds from there on (chunk lengths,
 checksums, markers, sizes), which also gives the exact length; so texts that happen to
-hold magic bytes are not taken for media. The outermost valid hit at the start names
+hold magic bytes are not taken for media. Chains of structures are walked once, whatever
+number of hits leads into them. The outermost valid hit at the start names
 the value's type, which replaces a wrong declared type; other valid hits are carved.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import arrow_map, chunks
+from .runtime import arrow_map, chunks, spread
 
 BLOCK = 64
 SAMPLE_RATE = 8000
@@ -39,10 +41,45 @@ def padded(text: bytes) -> bytes:
     return text + bytes(max(BLOCK, -(-len(text) // BLOCK) * BLOCK) - len(text))
 
 
-# Each validator takes the bytes and the start of a hit and returns (end, media type) or None.
+class Value:
+    """A value with what validators look up in it, so that many hits cost no more than one pass.
+
+    ``marks`` are the places of closing strings. ``follow`` walks a chain of structures from
+    a position and remembers where every position on it leads.
+    """
+
+    def __init__(self, raw: bytes, marks: dict[bytes, list[int]]):
+        self.raw, self.marks = raw, marks
+        self.ends: dict[object, dict[int, int | None]] = {}
+
+    def after(self, mark: bytes, at: int) -> int | None:
+        places = self.marks.get(mark, ())
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else None
+
+    def follow(self, step, at: int) -> int | None:
+        """Where the chain from ``at`` ends, or None if it breaks; ``step`` gives (position, whether that is the end) or None."""
+        known = self.ends.setdefault(step, {})
+        walked = []
+        while at not in known:
+            walked.append(at)
+            found = step(self.raw, at)
+            if found is None or found[1]:
+                known[at] = None if found is None else found[0]
+                break
+            at = found[0]
+        for place in walked:
+            known[place] = known[at]
+        return known[at]
+
+
+# Each validator takes a value and the start of a hit and returns (end, media type), with the start if it
+# lies before the hit, or None. A step takes bytes and a position and returns the next position and whether
+# the chain ends there, or None.
 
 
-def _riff(b: bytes, at: int):
+def _riff(value: Value, at: int):
+    b = value.raw
     if len(b) < at + 12:
         return None
     size, form = struct.unpack_from("<I4s", b, at + 4)
@@ -64,66 +101,76 @@ def _riff(b: bytes, at: int):
     return end, kinds[form]
 
 
-def _png(b: bytes, at: int):
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        n, tag = struct.unpack_from(">I4s", b, p)
-        if p + 12 + n > len(b) or first != (tag == b"IHDR") or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return None
-        p, first = p + 12 + n, False
-        if tag == b"IEND":
-            return p, "image/png"
-    return None
+def _png_chunk(b: bytes, p: int):
+    if p + 12 > len(b):
+        return None
+    n, tag = struct.unpack_from(">I4s", b, p)
+    end = p + 12 + n
+    if end > len(b) or not tag.isalpha() or zlib.crc32(memoryview(b)[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+        return None
+    return end, tag == b"IEND"
 
 
-def _sub_blocks(b: bytes, p: int) -> int | None:
-    while p < len(b):
-        n = b[p]
-        p += 1 + n
-        if not n:
-            return p
-    return None
+def _png(value: Value, at: int):
+    if value.raw[at + 8 : at + 16] != b"\x00\x00\x00\rIHDR":
+        return None
+    end = value.follow(_png_chunk, at + 8)
+    return (end, "image/png") if end else None
 
 
-def _gif(b: bytes, at: int):
-    if len(b) < at + 13:
-        return None
-    flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    while p is not None and p < len(b):
-        kind = b[p]
+def _sub_block(b: bytes, p: int):
+    return (p + 1 + b[p], b[p] == 0) if p < len(b) else None
+
+
+def _gif(value: Value, at: int):
+    b = value.raw
+
+    def block(_, p: int):
+        kind = b[p] if p < len(b) else 0
         if kind == 0x3B:
-            return p + 1, "image/gif"
+            return p + 1, True
         if kind == 0x21:
-            p = _sub_blocks(b, p + 2)
+            p = value.follow(_sub_block, p + 2)
         elif kind == 0x2C and p + 10 < len(b):
-            local = b[p + 9]
-            p = _sub_blocks(b, p + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
+            p = value.follow(_sub_block, p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0))
         else:
             return None
-    return None
+        return None if p is None else (p, False)
 
+    if len(b) < at + 13:
+        return None
+    flags = b[at + 10]
+    step = value.ends.setdefault("gif block", block)
+    end = value.follow(step, at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
+    return (end, "image/gif") if end else None
 
-def _jpeg(b: bytes, at: int):
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        mark, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
-        if mark in (0, 0xFF) or 0xD0 <= mark <= 0xD9 or n < 2:
+
+def _jpeg_segment(b: bytes, p: int):
+    if p + 4 > len(b) or b[p] != 0xFF:
+        return None
+    mark, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
+    if mark in (0, 0xFF) or 0xD0 <= mark <= 0xD9 or n < 2:
+        return None
+    p += 2 + n
+    if mark == 0xDA:
+        while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b):
+            if b[p + 1] == 0xD9:
+                return p + 2, True
+            if b[p + 1] not in (0, *range(0xD0, 0xD8)):
+                break
+            p += 2
+        if p < 0:
             return None
-        p += 2 + n
-        if mark == 0xDA:
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b):
-                if b[p + 1] == 0xD9:
-                    return p + 2, "image/jpeg"
-                if b[p + 1] not in (0, *range(0xD0, 0xD8)):
-                    break
-                p += 2
-            if p < 0:
-                return None
-    return None
-
-
-def _bmp(b: bytes, at: int):
+    return p, False
+
+
+def _jpeg(value: Value, at: int):
+    end = value.follow(_jpeg_segment, at + 2)
+    return (end, "image/jpeg") if end else None
+
+
+def _bmp(value: Value, at: int):
+    b = value.raw
     if len(b) < at + 30:
         return None
     size, zero, offset, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -131,57 +178,70 @@ def _bmp(b: bytes, at: int):
     return (at + size, "image/bmp") if ok and 14 + header <= offset <= size and at + size <= len(b) else None
 
 
-def _flac(b: bytes, at: int):
-    p, first = at + 4, True
-    while p + 4 <= len(b):
-        kind, n = b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
-        if first != (kind == 0) or kind == 127 or first and n != 34 or p + 4 + n > len(b):
-            return None
-        last, p, first = b[p] & 0x80, p + 4 + n, False
-        if last:
-            return (len(b), "audio/flac") if b[p : p + 1] == b"\xff" else None
-    return None
-
-
-def _ogg(b: bytes, at: int):
-    p, end = at, None
-    while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
-        n = b[p + 26]
-        table = b[p + 27 : p + 27 + n]
-        p += 27 + n + sum(table)
-        if len(table) < n or p > len(b):
-            return None
-        end = p
-    return (end, "application/ogg") if end else None
+def _flac_block(b: bytes, p: int):
+    if p + 4 > len(b):
+        return None
+    end = p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    if b[p] & 0x7F == 127 or end > len(b):
+        return None
+    return end, bool(b[p] & 0x80)
 
 
-def _mp4(b: bytes, hit: int):
-    at, p = hit - 4, hit - 4
-    if at < 0:
+def _flac(value: Value, at: int):
+    """Metadata blocks, the first about the stream, then a frame; the format has no length, so it reaches to the value's end."""
+    b = value.raw
+    if b[at + 4 : at + 8].lstrip(b"\x80") not in (b"\x00\x00\x00\x22", b"\x00\x00\x22") or at + 42 > len(b):
         return None
-    while p + 8 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, p)
-        if n < 8 or p + n > len(b) or not kind.isalnum():
-            break
-        p += n
-    return (p, "video/mp4", at) if p > at + 16 else None
+    least, most = struct.unpack_from(">HH", b, at + 8)
+    rate = int.from_bytes(b[at + 18 : at + 21], "big") >> 4
+    end = value.follow(_flac_block, at + 4)
+    ok = end and 16 <= least <= most and rate and end + 2 <= len(b) and b[end] == 0xFF and b[end + 1] & 0xFC == 0xF8
+    return (len(b), "audio/flac") if ok else None
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return (end + 5, "application/pdf") if end > 0 and b.find(b"startxref", at, end) > 0 else None
+def _ogg_page(b: bytes, p: int):
+    if b[p : p + 4] != b"OggS" or p + 27 > len(b) or b[p + 4]:
+        return p, True  # the stream ends before what is no page
+    n = b[p + 26]
+    end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+    return None if p + 27 + n > len(b) or end > len(b) else (end, False)
 
 
-def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+def _ogg(value: Value, at: int):
+    end = value.follow(_ogg_page, at)
+    return (end, "application/ogg") if end and end > at else None
+
+
+def _mp4_box(b: bytes, p: int):
+    if p + 8 > len(b):
+        return p, True
+    n, kind = struct.unpack_from(">I4s", b, p)
+    if n < 8 or p + n > len(b) or not kind.isalnum():
+        return p, True
+    return p + n, False
+
+
+def _mp4(value: Value, hit: int):
+    at = hit - 4
+    end = value.follow(_mp4_box, at) if at >= 0 else None
+    return (end, "video/mp4", at) if end and end > at + 16 else None
+
+
+def _pdf(value: Value, at: int):
+    end, table = value.after(b"%%EOF", at), value.after(b"startxref", at)
+    return (end + 5, "application/pdf") if end is not None and table is not None and table + 9 <= end else None
+
+
+def _zip(value: Value, at: int):
+    b, end = value.raw, value.after(b"PK\x05\x06", at)
+    if end is None or end + 22 > len(b):
         return None
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
     ok = at + start + size == end and end + 22 + note <= len(b)
     return (end + 22 + note, "application/zip") if ok else None
 
 
-# Magic strings of the formats' public specifications.
+# Magic strings of the formats' public specifications, and strings that close a format.
 MAGIC = {
     b"RIFF": _riff,
     b"\x89PNG\r\n\x1a\n": _png,
@@ -195,27 +255,32 @@ MAGIC = {
     b"%PDF-": _pdf,
     b"PK\x03\x04": _zip,
 }
+CLOSING = (b"%%EOF", b"startxref", b"PK\x05\x06")
 
 
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for magic in MAGIC:
+    for magic in (*MAGIC, *CLOSING):
         found.add_word(magic.decode("latin-1"), magic)
     found.make_automaton()
     return found
 
 
-def sniff_bytes(value: bytes, inside: bool = True) -> list[tuple[str, int, int]]:
+def sniff_bytes(raw: bytes) -> list[tuple[str, int, int]]:
     """(media type, start, length) of every valid format in the value, by start; outer ones first."""
-    found = []
-    for last, magic in _automaton().iter(value.decode("latin-1")):
+    hits, marks = [], {}
+    for last, magic in _automaton().iter(raw.decode("latin-1")):
         at = last + 1 - len(magic)
+        if magic in MAGIC:
+            hits.append((at, magic))
+        else:
+            marks.setdefault(magic, []).append(at)
+    value, found = Value(raw, marks), []
+    for at, magic in hits:
         if hit := MAGIC[magic](value, at):
             start = hit[2] if len(hit) > 2 else at
             found.append((hit[1], start, hit[0] - start))
-            if not inside and start == 0:
-                break
     return sorted(found, key=lambda x: (x[1], -x[2]))
 
 
@@ -257,7 +322,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 "media": [wav_of(padded(x)) for x in raw],
             }
 
-    return arrow_map(rows, run, STORED)
+    return arrow_map(spread(rows), run, STORED)
 
 
 SPAN = T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])

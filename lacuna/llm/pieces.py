@@ -9,9 +9,11 @@ are merge ranks and must not be summed; its paths are those whose every two neig
 pieces that merging would leave side by side. Each prefix has exactly one such path, and
 it is the one that merging finds, so the same search gives that library's ids.
 
-Units between boundaries that no piece can cross (before a run of spaces, around
-characters that no longer piece holds) are converged by construction; short ones are searched in one go, and
-their ids are kept in a cache.
+Boundaries that no piece can cross (before a run of spaces, around characters that no
+longer piece holds) are points where all paths meet by construction: what lies between two of them is a
+stream of its own, whose ids may be kept in a cache. Elsewhere the paths are followed back each time the
+window has grown by the longest piece, and what lies before their common boundary is committed. The positions that
+can still be extended are never more than the longest piece's length; those before them are kept only as long as paths disagree there.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections import deque
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import ahocorasick
@@ -36,7 +38,7 @@ SPACE = "▁"
 # The model file's enumerations.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-#: Units kept in a worker's cache (about 150 bytes each).
+#: Units of up to so many characters are kept in a worker's cache, so many of them (about 150 bytes each).
 CACHE = 500_000
 LONGEST_CACHED = 64
 
@@ -110,10 +112,6 @@ class Codec:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(m.kinds) if k == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
-        self.ends = {}
-        for p in self.ids:
-            self.ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(n, reverse=True) for c, n in self.ends.items()}
         self.worst = min((s for s, k in zip(m.scores, m.kinds) if k == NORMAL), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.dtype = "<u2" if len(m.pieces) <= 65536 else "<u4"
@@ -126,8 +124,9 @@ class Codec:
         # stand alone, and before a run of spaces if no piece has a space behind another character.
         spaced = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         joined = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p if c != SPACE}))
-        self.units = None if spaced else re.compile(f"{SPACE}*[{re.escape(joined)}]+|{SPACE}+|[^{SPACE}]", re.DOTALL)
+        self.units = None if spaced else re.compile((f"{SPACE}*[{re.escape(joined)}]+|" if joined else "") + f"{SPACE}+|[^{SPACE}]", re.DOTALL)
         self.cache: dict[str, bytes] = {}
+        self.widest = 0  # characters that the window has held at most
         self.plain = [self._plain(i) for i in range(len(m.pieces))]
 
     def _plain(self, i: int) -> bytes:
@@ -210,77 +209,56 @@ class Codec:
             else:
                 best_allowed, tie, right = scores[ids[right]], False, parts[1][0]
 
-    def stream(self, characters):
-        """Pieces of a stream of characters, each given out once all live paths agree on it.
+    def stream(self, text: str):
+        """Pieces of a text, each given out once all live paths agree on it.
 
         ``back`` holds, for each position since the last final boundary, the piece that ends there on
-        its best path; only the last ``longest`` of them can still be extended.
+        its best path; only the last ``longest`` of them can still be extended. Matches come by their last character.
         """
-        bpe, scores = self.model.kind == BPE, self.model.scores
-        window: deque[str] = deque()
+        if len(text) == 1:
+            yield text
+            return
+        bpe, scores, ids, pairs, longest = self.model.kind == BPE, self.model.scores, self.ids, self.pairs, self.longest
         back: list[str | None] = [""]
         worth = [0.0]
-        for c in characters:
-            window.append(c)
-            n = len(window)
-            text = "".join(window) if n <= self.longest else "".join(window[i] for i in range(n - self.longest, n))
-            best, value = None, 0.0
-            for length in self.ends.get(c, ()):
-                if length > n or back[n - length] is None:
-                    continue
-                piece = text[len(text) - length :]
-                if piece not in self.ids:
-                    continue
-                if bpe:
-                    if self.side_by_side(back[n - length], piece):
-                        best = piece
-                        break
-                else:
-                    total = worth[n - length] + scores[self.ids[piece]]
-                    if best is None or total > value:
-                        best, value = piece, total
-            if best is None and (c not in self.ids or not bpe):
-                if back[n - 1] is not None:
-                    best, value = c, worth[n - 1] + self.worst
-            back.append(best)
-            worth.append(value)
-            # A character that no piece holds ends every path; otherwise look now and then where live paths meet.
-            if c not in self.ends and best is not None:
-                yield from self._path(back, n)
-                window, back, worth = deque(), [""], [0.0]
-            elif n >= 4 * self.longest and n % self.longest == 0:
-                common = self._meet(back, n)
-                if common:
-                    done = self._path(back, common)
-                    yield from done
-                    for _ in range(common):
-                        window.popleft()
-                    back, worth = [done[-1] if bpe else "", *back[common + 1 :]], worth[common:]
-        if window:
-            yield from self._path(back, len(window))
-
-    def short(self, unit: str) -> list[str]:
-        """The same search over a unit of known characters that fits the window, so nothing needs to be given out early."""
-        if len(unit) == 1:
-            return [unit]
-        back: list[str | None] = [None] * (len(unit) + 1)
-        back[0] = ""
-        if self.model.kind == BPE:
-            pairs = self.pairs
-            for last, piece in self.matches.iter(unit):
-                if back[last + 1] is None and (left := back[last + 1 - len(piece)]) is not None:
-                    fits = pairs.get((left, piece))
-                    if fits or fits is None and self.side_by_side(left, piece):
-                        back[last + 1] = piece
-        else:
-            worth, scores, ids = [0.0] * (len(unit) + 1), self.model.scores, self.ids
-            for last, piece in self.matches.iter(unit):
-                start = last + 1 - len(piece)
-                if back[start] is not None:
-                    total = worth[start] + scores[ids[piece]]
-                    if back[last + 1] is None or total > worth[last + 1]:
-                        back[last + 1], worth[last + 1] = piece, total
-        return self._path(back, len(unit)) if back[-1] is not None else [*self.stream(unit)]
+        base = checked = 0
+        for last, piece in chain(self.matches.iter(text), ((len(text) - 1, None),)):
+            while len(back) <= last + 1 - base:
+                n = len(back) - 1
+                if back[n] is None:
+                    self._close(text[base + n - 1], back, worth)
+                if n - checked >= longest:
+                    checked = n
+                    if common := self._meet(back, n):
+                        done = self._path(back, common)
+                        yield from done
+                        back, worth = [done[-1] if bpe else "", *back[common + 1 :]], worth[common:]
+                        base, checked = base + common, n - common
+                    self.widest = max(self.widest, n)
+                back.append(None)
+                worth.append(0.0)
+            if piece is None:
+                break
+            end = last + 1 - base
+            start = end - len(piece)
+            if start < 0 or (left := back[start]) is None:
+                continue
+            if not bpe:
+                total = worth[start] + scores[ids[piece]]
+                if back[end] is None or total > worth[end]:
+                    back[end], worth[end] = piece, total
+            elif back[end] is None:
+                fits = pairs.get((left, piece))
+                if fits or fits is None and self.side_by_side(left, piece):
+                    back[end] = piece
+        if back[-1] is None:
+            self._close(text[-1], back, worth)
+        yield from self._path(back, len(back) - 1)
+
+    def _close(self, character: str, back: list, worth: list) -> None:
+        """The last position, where no piece ends, is reached by its character alone if that is unknown."""
+        if back[-2] is not None and (self.model.kind != BPE or character not in self.ids):
+            back[-1], worth[-1] = character, worth[-2] + self.worst
 
     def _path(self, back: list, end: int) -> list[str]:
         out = []
@@ -315,24 +293,29 @@ class Codec:
     def unit_ids(self, unit: str) -> bytes:
         found = self.cache.get(unit)
         if found is None:
-            short = len(unit) <= LONGEST_CACHED
-            found = self._to_ids(self.short(unit) if short else self.stream(unit))
-            if short:
+            found = self._to_ids(self.stream(unit))
+            if len(unit) <= LONGEST_CACHED:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
                 self.cache[unit] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        """All ids, without begin and end, in the codec's dtype."""
+        """All ids, without begin and end, in the codec's dtype; characters that no piece holds are one unknown id a run."""
         if not text:
             return b""
         text = text.replace(" ", SPACE)
         if self.model.dummy_prefix:
             text = SPACE + text
         if self.units is None:
-            return self._to_ids(self.stream(text))
-        return b"".join(map(self.unit_ids, self.units.findall(text)))
+            raw = self._to_ids(self.stream(text))
+        else:
+            raw = b"".join(map(self.unit_ids, self.units.findall(text)))
+        if self.bytes:
+            return raw
+        ids = np.frombuffer(raw, self.dtype)
+        again = np.r_[False, (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)] if len(ids) else ids
+        return ids[~again].tobytes() if len(ids) else raw
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the first space is the dummy prefix and goes."""

@@ -109,3 +109,30 @@ def test_empty_table(none):
 
 def test_query_covers_all_documents(spark, small):
     assert queries.op10_media_columns(spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_many_hits_take_linear_time():
+    import time
+
+    for pattern in (b"%PDF-", b"PK\x03\x04", b"GIF89a!!", b"OggS\0", b"RIFF    WAVE", b"\0\0\0\x10ftypabcdefgh"):
+        value = media.wav_of(media.padded(pattern * (2_000_000 // len(pattern))))
+        began = time.time()
+        assert media.inspect(value, None)[0] == "audio/wav"
+        assert time.time() - began < 20, pattern
+
+
+def test_flac_needs_its_stream_block_and_a_frame():
+    stream = struct.pack(">HH", 4096, 4096) + bytes(6) + (44100 << 12).to_bytes(4, "big") + bytes(20)
+    good = b"fLaC" + b"\x80\x00\x00\x22" + stream + b"\xff\xf8" + bytes(50)
+    assert media.sniff_bytes(good) == [("audio/flac", 0, len(good))]
+    assert media.sniff_bytes(good[:42] + b"\xff\x00" + bytes(50)) == [] == media.sniff_bytes(b"fLaC" + bytes(80))
+
+
+def test_query_digests(spark, small, some_texts):
+    got = {r.doc_id: r for r in queries.op10_media_columns(spark, small).collect()}
+    for i, text in some_texts:
+        raw = (text or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.media_sha256 == hashlib.sha256(media.wav_of(payload)).hexdigest() and r.media_bytes == len(payload) + 44
