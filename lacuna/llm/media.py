@@ -192,10 +192,8 @@ def _flac(value: Value, at: int):
     b = value.raw
     if b[at + 4 : at + 8].lstrip(b"\x80") not in (b"\x00\x00\x00\x22", b"\x00\x00\x22") or at + 42 > len(b):
         return None
-    least, most = struct.unpack_from(">HH", b, at + 8)
-    rate = int.from_bytes(b[at + 18 : at + 21], "big") >> 4
     end = value.follow(_flac_block, at + 4)
-    ok = end and 16 <= least <= most and rate and end + 2 <= len(b) and b[end] == 0xFF and b[end + 1] & 0xFC == 0xF8
+    ok = end and end + 2 <= len(b) and b[end] == 0xFF and b[end + 1] & 0xFC == 0xF8
     return (len(b), "audio/flac") if ok else None
 
 
