@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 BROADCAST_BYTES = 48 << 20
 
 #: Tables up to this many bytes are dealt over all cores before costly maps.
-SMALL_BYTES = 64 << 20
+SMALL_BYTES = 16 << 20
 
 #: Rows of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 2_000
