@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.expressions import date_label, gap_entry, presence_status
@@ -92,6 +92,12 @@ def gap_literal(gaps: DataFrame) -> DataFrame:
     return gaps.agg(F.array_join(lines, ",\n").alias("literal"))
 
 
+def gap_script(gaps: DataFrame, name: str = "gapMonths") -> DataFrame:
+    """All gaps as the script's whole statement, ready to be pasted; one row."""
+    head, tail = F.lit(f"var {name} = [\n"), F.lit("\n];")
+    return gap_literal(gaps).select(F.concat(head, "literal", tail).alias("script"))
+
+
 def priority_table(spark: SparkSession) -> DataFrame:
     """(first, last, mission, rank): which missions serve an era, best first."""
     rows = [(lo, hi, m, r) for lo, hi, ms in PRIORITY for r, m in enumerate(ms)]
@@ -135,9 +141,3 @@ def median_composite(df: DataFrame, value: str, *keys: str) -> DataFrame:
 def in_area(df: DataFrame, area: DataFrame, key: str) -> DataFrame:
     """Rows whose key the area has."""
     return df.join(area.select(key), key, "left_semi")
-
-
-def running_offsets(counts: DataFrame, n: str = "n") -> DataFrame:
-    """Adds ``before``: rows of earlier months. The table has a row a month."""
-    earlier = Window.orderBy("year", "month").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum(n).over(earlier), F.lit(0)))

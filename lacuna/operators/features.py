@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.expressions import FEATURES, clip01, finite, month_cos, month_sin
-from lacuna.operators.coverage import running_offsets
 
 
 def time_features(months: DataFrame) -> DataFrame:
@@ -48,23 +47,61 @@ def cap_per_group(df: DataFrame, n: int, group: list[str], key: list[str], seed:
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
+#: Rows of the boundary month that are put in order at once.
+RANKED = 100_000
+#: Bounds that a month is cut by, in each round of the search for the boundary.
+BOUNDS = 64
+
+
 def temporal_split(df: DataFrame, key: list[str], ratio: float = 0.22) -> DataFrame:
     """Adds is_train: the first floor(N (1 - ratio)) rows in (year, month, key) order.
 
-    Month counts give each month's offset; whole months go to one side, and only the month
-    that the boundary falls into is ranked.
+    Month counts say in which month the boundary falls; there, counts between sampled keys narrow
+    it down until few rows are left to be put in order. The split itself is then a comparison with
+    the last training row's place: no join, no shuffle, no month in one task. ``key`` must tell a month's rows apart.
     """
-    counts = running_offsets(df.groupBy("year", "month").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    k = int(total * (1.0 - ratio))
-    places = counts.select("year", "month", "n", "before")
-    marked = df.join(F.broadcast(places), ["year", "month"])
-    whole = marked.where((F.col("before") + F.col("n") <= k) | (F.col("before") >= k))
-    cut = marked.where((F.col("before") + F.col("n") > k) & (F.col("before") < k))
-    rank = F.row_number().over(Window.partitionBy("year", "month").orderBy(*key))
-    cut = cut.withColumn("is_train", F.col("before") + rank <= k)
-    out = whole.withColumn("is_train", F.col("before") < k).unionByName(cut)
-    return out.drop("n", "before")
+    counts = df.groupBy("year", "month").agg(F.count("*").alias("n")).orderBy("year", "month").collect()  # a row a month
+    k = int(sum(r.n for r in counts) * (1.0 - ratio))
+    before = 0
+    for year, month, n in counts:
+        if before + n > k:
+            break
+        before += n
+    if k <= 0 or k >= sum(r.n for r in counts):
+        return df.withColumn("is_train", F.lit(bool(counts) and k > 0))
+    at = F.struct("year", "month")
+    edge = F.struct(F.lit(year).cast(df.schema["year"].dataType), F.lit(month).cast(df.schema["month"].dataType))
+    if k == before:
+        return df.withColumn("is_train", at < edge)
+    last = _key_at(df.where((F.col("year") == year) & (F.col("month") == month)).select(*key), k - before, n)
+    return df.withColumn("is_train", (at < edge) | ((at == edge) & (F.struct(*key) <= _literal(df, key, last))))
+
+
+def _literal(df: DataFrame, key: list[str], row) -> Column:
+    return F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(key, row)))
+
+
+def _key_at(keys: DataFrame, place: int, n: int):
+    """The key at a place, from 1, among n keys in order."""
+    key = keys.columns
+    while n > RANKED:
+        sample = sorted({tuple(r) for r in keys.orderBy(F.xxhash64(*key), *key).limit(BOUNDS * 4).collect()}, key=_in_order)
+        bounds = sample[2::4]
+        cell = F.lit(0)
+        for b in bounds:
+            cell = cell + (F.struct(*key) > _literal(keys, key, b)).cast("int")
+        sizes = dict(keys.groupBy(cell.alias("cell")).count().collect())
+        chosen = 0
+        while place > sizes.get(chosen, 0):
+            place -= sizes.get(chosen, 0)
+            chosen += 1
+        n, keys = sizes[chosen], keys.where(cell == chosen)
+    return keys.orderBy(*key).limit(place).agg(F.max(F.struct(*key)).alias("last")).first()["last"]
+
+
+def _in_order(row: tuple) -> tuple:
+    """Null first, text by its bytes, as the engine orders."""
+    return tuple((v is not None, v.encode() if isinstance(v, str) else v) for v in row)
 
 
 def scaler_stats(df: DataFrame, *columns: str) -> DataFrame:

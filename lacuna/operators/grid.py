@@ -43,10 +43,14 @@ def from_arrays(df: DataFrame, vector: str, width: int, *keys: str) -> DataFrame
 
 
 def stack_bands(long: DataFrame, bands: tuple[str, ...], *keys: str) -> DataFrame:
-    """Long pixels (keys, band, value) as one column per band, for keys that have every band; one shuffle."""
-    wide = long.groupBy(*keys).pivot("band", list(bands)).agg(F.first("value"))
-    present = long.where(F.col("band").isin(*bands)).groupBy(*keys).agg(F.count_distinct("band").alias("n")).where(F.col("n") == len(bands))
-    return wide.join(present.drop("n"), list(keys), "left_semi")
+    """Long pixels (keys, band, value) as one column per band, for keys that have every band; one pre-aggregated shuffle."""
+    at = lambda b: F.col("band") == b
+    seen = [F.max(at(b)).alias(f"has {b}") for b in bands]
+    wide = long.where(F.col("band").isin(*bands)).groupBy(*keys).agg(*(F.first(F.when(at(b), F.col("value")), ignorenulls=True).alias(b) for b in bands), *seen)
+    every = F.lit(True)
+    for b in bands:
+        every = every & F.col(f"has {b}")
+    return wide.where(every).select(*keys, *bands)
 
 
 def resample(pixels: DataFrame, height: int, width: int, out_height: int, out_width: int, *keys: str) -> DataFrame:
@@ -77,26 +81,27 @@ def resample(pixels: DataFrame, height: int, width: int, out_height: int, out_wi
 def windows(pixels: DataFrame, height: int, width: int, size: int, *keys: str) -> DataFrame:
     """Each pixel's neighbourhood as an array, row by row, mirrored at the edges; an even size is the next odd one.
 
-    Each pixel is sent to the cells whose window it lies in, so one shuffle by target
-    cell assembles all windows. The grid must be wider than half a window.
+    Pixels are gathered into whole rows of the grid, which travel as arrays to the rows
+    whose windows they lie in; windows are cut from these arrays. The grid must be
+    complete, which is checked, and wider than half a window.
     """
     half = size // 2
     if half > height - 1 or half > width - 1:
         raise ValueError("the window is larger than the mirrored grid")
     reach = F.sequence(F.lit(-half), F.lit(half))
-    cells = grid(pixels.sparkSession, height, width)
-    wanted = cells.withColumn("dr", F.explode(reach)).withColumn("dc", F.explode(reach))
-    wanted = wanted.select(
-        F.col("row").alias("out_row"),
-        F.col("col").alias("out_col"),
-        ((F.col("dr") + half) * (2 * half + 1) + F.col("dc") + half).alias("position"),
-        reflected(F.col("row") + F.col("dr"), F.lit(height)).alias("row"),
-        reflected(F.col("col") + F.col("dc"), F.lit(width)).alias("col"),
-    )
-    joined = pixels.join(F.broadcast(wanted) if height * width * (2 * half + 1) ** 2 <= 1_000_000 else wanted, ["row", "col"])
-    entries = F.array_sort(F.collect_list(F.struct("position", "value")))
-    out = joined.groupBy(*keys, F.col("out_row").alias("row"), F.col("out_col").alias("col")).agg(entries.alias("e"))
-    return out.select(*keys, "row", "col", F.col("e.value").alias("window"))
+    line = F.array_sort(F.collect_list(F.struct(F.col("col"), F.col("value"))))
+    lines = pixels.groupBy(*keys, "row").agg(line.alias("line"))
+    whole = F.when(F.size("line") == width, F.col("line.value")).otherwise(F.raise_error(F.lit("a row of the grid lacks pixels or repeats some")))
+    lines = lines.select(*keys, "row", whole.alias("line"))
+    # Row s stands at distance d from row r = s - d, and from rows near the edge that it is mirrored to.
+    targets = F.array_distinct(F.array(F.col("row") - F.col("d"), -F.col("row") - F.col("d"), 2 * (height - 1) - F.col("row") - F.col("d")))
+    sent = lines.withColumn("d", F.explode(reach)).withColumn("out", F.explode(targets))
+    sent = sent.where((F.col("out") >= 0) & (F.col("out") < height) & (reflected(F.col("out") + F.col("d"), F.lit(height)) == F.col("row")))
+    rows = sent.groupBy(*keys, F.col("out").alias("row")).agg(F.array_sort(F.collect_list(F.struct("d", "line"))).alias("near"))
+    place = lambda c: F.transform(reach, lambda d: reflected(c + d, F.lit(width)) + 1)
+    window = F.flatten(F.transform("near", lambda n: F.transform(place(F.col("col")), lambda i: F.element_at(n["line"], i))))
+    cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    return cells.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), window.alias("window"))
 
 
 def concat_features(df: DataFrame, *arrays: str, out: str = "features") -> DataFrame:
@@ -105,6 +110,12 @@ def concat_features(df: DataFrame, *arrays: str, out: str = "features") -> DataF
     return df.withColumn(out, F.concat(*flat))
 
 
+def stack_climate(precip: DataFrame, temp: DataFrame, *keys: str) -> DataFrame:
+    """(keys, precip, temp) where both are there; a month or pixel that lacks either is left out."""
+    one = lambda df, name: df.select(*keys, F.col("value").alias(name))
+    return one(precip, "precip").join(one(temp, "temp"), list(keys))
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     """Rows of all frames, columns by name."""
     return reduce(lambda a, b: a.unionByName(b), frames)

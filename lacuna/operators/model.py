@@ -1,8 +1,9 @@
 """Multi-output radial-basis regression: centres, activations, ridge, scoring, grid search.
 
-The model is a few small arrays. Fitting reads the rows twice: k-means for the centres,
-then one pass that sums each partition's Gram matrices; only these K by K sums leave
-the executors. Scoring maps Arrow batches with the model broadcast.
+The model is a few small arrays. K-means runs all its starts, and all numbers of centres that a grid
+search tries, side by side: each pass over the rows moves every start one step. One more
+pass sums the Gram matrices. A pass leaves one small array a partition, and these are added up on the
+executors in groups until few are left. Scoring maps Arrow batches with the model broadcast.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows, the first in the order of a hash of their values, that starting centres are drawn from.
+START_ROWS = 20_000
+#: Partitions' arrays that are added up in one group, and the bytes of them that may go to the driver.
+GROUP, DRIVER_BYTES = 64, 16 << 20
+
 
 @dataclass
 class RbfModel:
@@ -77,47 +81,127 @@ def rbf_expression(vector: str, center: str, gamma: float | str) -> Column:
     return F.expr(f"exp(-({gamma}) * aggregate(zip_with({vector}, {center}, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v))")
 
 
+def starting_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """K-means++ starts: each centre is drawn with a chance in proportion to its squared distance from those before."""
+    rng = np.random.default_rng(seed)
+    chosen = [sample[rng.integers(len(sample))]]
+    near = ((sample - chosen[0]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = near.sum()
+        at = rng.choice(len(sample), p=near / total) if total > 0 else rng.integers(len(sample))
+        chosen.append(sample[at])
+        near = np.minimum(near, ((sample - chosen[-1]) ** 2).sum(1))
+    return np.array(chosen)
+
+
 def fit_centers(rows: DataFrame, features: tuple[str, ...], k: int, seeds: int = 10, seed: int = 42) -> np.ndarray:
     """K-means centres: the run with the lowest cost of ``seeds`` runs."""
-    vectors = VectorAssembler(inputCols=list(features), outputCol="__v").transform(rows).select("__v").persist()
-    try:
-        best = None
-        for s in range(seeds):
-            fitted = KMeans(featuresCol="__v", k=k, seed=seed + s).fit(vectors)
-            cost = fitted.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, np.array(fitted.clusterCenters()))
-        return best[1]
-    finally:
-        vectors.unpersist()
+    return fit_many_centers(rows, features, (k,), seeds, seed)[k]
 
 
-def gram(rows: DataFrame, features: tuple[str, ...], outputs: tuple[str, ...], centers: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A'A, A'Y and Y'Y; each partition sums its own, and the sums are added in partition order."""
-    shared = rows.sparkSession.sparkContext.broadcast((centers, gamma))
-    d, o, k = len(features), len(outputs), len(centers)
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+def _drawn_starts(wanted: DataFrame, features: tuple[str, ...], ks: tuple[int, ...], seeds: int, seed: int) -> list[tuple[int, np.ndarray]]:
+    drawn = wanted.orderBy(F.xxhash64(*features), *features).limit(START_ROWS).toArrow()
+    if not len(drawn):
+        raise ValueError("no rows to find centres in")
+    sample = np.column_stack([c.to_numpy() for c in drawn.columns])
+    return [(k, starting_centers(sample, k, seed + s)) for k in ks for s in range(seeds)]
+
+
+def fit_many_centers(rows: DataFrame, features: tuple[str, ...], ks: tuple[int, ...], seeds: int = 10, seed: int = 42, steps: int = 20, tolerance: float = 1e-4, starts: dict[int, list[np.ndarray]] | None = None) -> dict[int, np.ndarray]:
+    """The centres of ``fit_centers`` for each k, all runs in the same passes over the rows.
+
+    Starts come from a sample of ``START_ROWS`` rows, steps see all rows. A run stops when no centre
+    moves by more than ``tolerance``, all after ``steps``; centres without rows stay. ``starts`` gives the runs of
+    each k instead. No rows, an error.
+    """
+    d = len(features)
+    wanted = rows.select(*(F.col(c).cast("double") for c in features))
+    runs = [(k, c) for k in starts for c in starts[k]] if starts else _drawn_starts(wanted, features, ks, seeds, seed)
+    centers, moving = [c for _, c in runs], list(range(len(runs)))
+    cost = np.full(len(runs), np.inf)
+    for step in range(steps + 1):
+        held = [centers[i] for i in moving]
+        sizes = [len(c) * (d + 1) + 1 for c in held]
+
+        def add(total: np.ndarray, x: np.ndarray, held=held, sizes=sizes) -> None:
+            square = (x**2).sum(1)
+            ones = np.column_stack([x, np.ones(len(x))])
+            for c, part in zip(held, np.split(total, np.cumsum(sizes)[:-1])):
+                far = square[:, None] - 2.0 * x @ c.T + (c**2).sum(1)[None, :]
+                at = far.argmin(1)
+                hot = np.zeros((len(x), len(c)))
+                hot[np.arange(len(x)), at] = 1.0
+                part[:-1] += (hot.T @ ones).ravel()
+                part[-1] += np.maximum(far[np.arange(len(x)), at], 0.0).sum()
+
+        sums = np.split(sum_arrays(wanted, sum(sizes), add), np.cumsum(sizes)[:-1])
+        still = []
+        for i, found in zip(moving, sums):
+            cost[i] = found[-1]
+            cells = found[:-1].reshape(-1, d + 1)
+            n = cells[:, d:]
+            after = np.where(n > 0, cells[:, :d] / np.maximum(n, 1.0), centers[i])
+            moved = np.sqrt(((after - centers[i]) ** 2).sum(1)).max()
+            if step < steps and moved > tolerance:
+                centers[i] = after
+                still.append(i)
+        moving = still
+        if not moving:
+            break
+    best = {}
+    for i, (k, _) in enumerate(runs):
+        if k not in best or cost[i] < cost[best[k]]:
+            best[k] = i
+    return {k: centers[i] for k, i in best.items()}
+
+
+def sum_arrays(rows: DataFrame, size: int, add) -> np.ndarray:
+    """The sum over all rows of an array of ``size`` numbers.
+
+    ``add(total, x)`` adds the rows of the matrix x to the array. Partitions' arrays are added in
+    groups, in the order of the partitions, until what is left is small enough for the driver.
+    """
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("sums", T.BinaryType())])
+    target = pa.schema([("part", pa.int64()), ("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, g = shared.value
-        total = np.zeros((k + o, k + o))
+        total = np.zeros(size)
         for batch in batches:
-            m = np.column_stack([x.to_numpy(zero_copy_only=False) for x in batch.columns])
-            z = np.column_stack([activations(m[:, :d], c, g), m[:, d:]])
-            total += z.T @ z
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "sums": pa.array([total.ravel()], pa.list_(pa.float64()))})
+            if batch.num_rows:
+                add(total, np.column_stack([x.to_numpy(zero_copy_only=False) for x in batch.columns]))
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]}, schema=target)
+
+    def merge(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("part").to_numpy(), kind="stable")
+        raw = table.column("sums").to_pylist()
+        total = np.zeros(size)
+        for i in order:
+            total += np.frombuffer(raw[i])
+        return pa.table({"part": [table.column("part")[int(order[0])].as_py() // GROUP], "sums": [total.tobytes()]}, schema=target)
+
+    parts = rows.mapInArrow(run, schema)
+    left = rows.rdd.getNumPartitions()
+    while left * size * 8 > DRIVER_BYTES and left > GROUP:
+        parts = parts.groupBy(F.floor(F.col("part") / GROUP)).applyInArrow(merge, schema)
+        left = -(-left // GROUP)
+    total = np.zeros(size)
+    for r in sorted(parts.collect()):
+        total += np.frombuffer(r.sums)
+    return total
+
+
+def gram(rows: DataFrame, features: tuple[str, ...], outputs: tuple[str, ...], centers: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A'A, A'Y and Y'Y over all rows."""
+    d, o, k = len(features), len(outputs), len(centers)
+
+    def add(total: np.ndarray, m: np.ndarray) -> None:
+        z = np.column_stack([activations(m[:, :d], centers, gamma), m[:, d:]])
+        total += (z.T @ z).ravel()
 
     wanted = rows.select(*(F.col(c).cast("double") for c in (*features, *outputs)))
-    parts = wanted.mapInArrow(run, schema)
-    # Added up cell by cell on the executors; (K + outputs)^2 numbers reach the driver.
-    cells = parts.select("part", F.posexplode("sums").alias("i", "v"))
-    added = cells.groupBy("i").agg(F.expr("aggregate(array_sort(collect_list(struct(part, v))), 0D, (s, x) -> s + x.v)").alias("v"))
-    flat = np.zeros((k + o) ** 2)
-    for r in added.collect():
-        flat[r.i] = r.v
-    full = flat.reshape(k + o, k + o)
+    full = sum_arrays(wanted, (k + o) ** 2, add).reshape(k + o, k + o)
     return full[:k, :k], full[:k, k:], full[k:, k:]
 
 
@@ -154,20 +238,20 @@ def predict(rows: DataFrame, model: RbfModel, keep: tuple[str, ...], suffix: str
     return rows.select(*keep, *(F.col(f).cast("double").alias(f"__{f}") for f in model.features)).mapInArrow(run, schema)
 
 
-def grid_search(train: DataFrame, valid: DataFrame, features: tuple[str, ...], outputs: tuple[str, ...], ks: tuple[int, ...] = (30, 50, 100), penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2), seeds: int = 10) -> tuple[dict, list[tuple]]:
+def grid_search(train: DataFrame, valid: DataFrame, features: tuple[str, ...], outputs: tuple[str, ...], ks: tuple[int, ...] = (30, 50, 100), penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2), seeds: int = 10, centers: dict[int, np.ndarray] | None = None, gamma: float | None = None) -> tuple[dict, list[tuple]]:
     """The best (k, penalty) by overall error on ``valid``, and all trials (trial, k, penalty, rmse).
 
-    Centres and Gram matrices are made once per k, and every penalty is solved and scored
+    Centres and Gram matrices are made once per k, centres of all k together, and every penalty is solved and scored
     from them: the squared error is Y'Y - 2 W'A'Y + W'A'A W. Ties go to the earlier trial; with no number
-    among the errors the best is empty.
+    among the errors the best is empty. ``centers`` and ``gamma`` are found unless given.
     """
     trials = []
     n = valid.count() * len(outputs)
+    fitted = centers or fit_many_centers(train, features, tuple(ks), seeds)
     for k in ks:
-        centers = fit_centers(train, features, k, seeds)
-        gamma = width_of(centers)
-        ata, aty, _ = gram(train, features, outputs, centers, gamma)
-        vta, vty, yty = gram(valid, features, outputs, centers, gamma)
+        width = width_of(fitted[k]) if gamma is None else gamma
+        ata, aty, _ = gram(train, features, outputs, fitted[k], width)
+        vta, vty, yty = gram(valid, features, outputs, fitted[k], width)
         for p in penalties:
             w = ridge(ata, aty, p)
             square = np.trace(yty) - 2.0 * (w * vty).sum() + (w * (vta @ w)).sum()

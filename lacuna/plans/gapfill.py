@@ -32,14 +32,14 @@ def fit_pipeline(matrix: DataFrame, cfg: dict, key: list[str] = ("row", "col"),
     training rows only.
     """
     key = list(key)
-    rows = features.require_rows(training_rows(matrix, key, cfg.get("max_pixels_per_month"), cfg.get("seed", 42)))
-    split = features.temporal_split(rows, key, cfg["val_ratio"]).persist()
+    rows = training_rows(matrix, key, cfg.get("max_pixels_per_month"), cfg.get("seed", 42)).persist()
     try:
+        split = features.temporal_split(features.require_rows(rows), key, cfg["val_ratio"])
         scope = split if fit_scope == "all" else split.where("is_train")
         stats = features.stats_of(scope, *FEATURES)
         scaled = features.standardize(split, stats)
         train = scaled.where("is_train")
-        fitted = model.fit(train, FEATURES, BANDS, stats, cfg["num_centers"], cfg["lambda_reg"], seeds=seeds)
+        fitted = model.fit(train, FEATURES, BANDS, stats, cfg["num_centers"], cfg["lambda_reg"], cfg.get("gamma"), seeds=seeds)
         scored = model.predict(split.where("NOT is_train"), fitted, BANDS, suffix="_pred")
         pairs = ", ".join(f"'{b}', `{b}`, `{b}_pred`" for b in BANDS)
         long = scored.select(F.expr(f"stack({len(BANDS)}, {pairs}) AS (band, y, p)"))
@@ -47,7 +47,7 @@ def fit_pipeline(matrix: DataFrame, cfg: dict, key: list[str] = ("row", "col"),
         found = errors.collect()  # a row per band
         return fitted, errors.sparkSession.createDataFrame(found, errors.schema)
     finally:
-        split.unpersist()
+        rows.unpersist()
 
 
 def fill_gaps(fitted: model.RbfModel, calendar: DataFrame, observed: DataFrame, climate: DataFrame, static: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from lacuna.operators import coverage, features, grid, model
 from lacuna.plans import gapfill
 from lacuna.sources import catalog as files
 from lacuna.sources import scenes as sc
+from lacuna.sources import raster, tables
 from lacuna.sources.tables import COUNT_COLUMNS, read
 
 FIRST, LAST = 1995, 2002
@@ -100,7 +101,8 @@ counts AS (
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
-    return coverage.scene_counts(coverage.below_cloud(scenes(spark, folder)), coverage.calendar(spark, FIRST, LAST))
+    some = coverage.between(scenes(spark, folder), "l_shipdate", f"{FIRST}-01-01", f"{LAST + 1}-01-01")
+    return coverage.scene_counts(coverage.below_cloud(some), coverage.calendar(spark, FIRST, LAST))
 
 
 @query(f"WITH {COUNTS} SELECT {', '.join(COUNT_COLUMNS)} FROM counts")
@@ -148,6 +150,51 @@ def gap_literal(spark, folder):
     return coverage.gap_literal(coverage.gap_months(_counts(spark, folder)))
 
 
+@query(f"WITH {COUNTS} SELECT 'var gapMonths = [' || chr(10) || coalesce(string_agg('  {{y: ' || year || ', m: ' || month || '}}', ',' || chr(10) ORDER BY year, month), '') || chr(10) || '];' AS script FROM counts WHERE total_L2 = 0")
+def gap_script(spark, folder):
+    return coverage.gap_script(coverage.gap_months(_counts(spark, folder)))
+
+
+@query(f"WITH {COUNTS} SELECT {', '.join(COUNT_COLUMNS)} FROM counts")
+def counts_csv(spark, folder):
+    path = tables.scratch(spark, "counts")
+    tables.write_counts(_counts(spark, folder), path)
+    return tables.read_counts(spark, path)
+
+
+@query(f"WITH {SCENES} SELECT year, month, count(*) AS n, round(sum(value), 2) AS value FROM scenes GROUP BY 1, 2")
+def pixels_parquet(spark, folder):
+    """Scenes written as Parquet by month, values as floats, and read back; prices have two digits, so floats hold them to a cent."""
+    path = tables.scratch(spark, "pixels")
+    rows = scenes(spark, folder).select("year", "month", F.col("l_orderkey").alias("row"), "value")
+    tables.write_pixels(rows, path, "observed", "value")
+    back = tables.read_pixels(spark, path).where("source = 'observed'")
+    return back.groupBy("year", "month").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("value").cast("double"), 2)), 2).alias("value"))
+
+
+_known = ", ".join(f"({y}, {m})" for y, m in sc.known_gaps())
+
+
+@query(f"WITH {SCENES}, gaps(year, month) AS (VALUES {_known}) SELECT g.year, g.month, count(s.l_orderkey) AS scenes FROM gaps g LEFT JOIN scenes s ON g.year = s.year AND g.month = s.month GROUP BY 1, 2")
+def known_gap_scenes(spark, folder):
+    counted = scenes(spark, folder).groupBy("year", "month").agg(F.count("*").alias("scenes"))
+    return sc.constant_months(spark, sc.known_gaps()).join(counted, ["year", "month"], "left").fillna(0, ["scenes"])
+
+
+@query(f"SELECT y AS year, coalesce(min_by(mission, rank), '') AS mission FROM range(1980, 2030) a(y) JOIN (VALUES {', '.join(f'({lo}, {hi}, {chr(39)}{m}{chr(39)}, {r})' for lo, hi, ms in coverage.PRIORITY for r, m in enumerate(ms))}) e(first, last, mission, rank) ON y BETWEEN first AND last WHERE mission <> 'l5' GROUP BY 1")
+def eras(spark, folder):
+    """The best mission of every era when all but one have scenes."""
+    months = coverage.calendar(spark, 1980, 2029).where("month = 1")
+    some = months.crossJoin(F.broadcast(coverage.priority_table(spark).select("mission").distinct())).where("mission <> 'l5'").withColumn("scenes", F.lit(1))
+    return coverage.best_mission(months, some).select("year", "mission")
+
+
+@query(f"WITH {SCENES} SELECT l_orderkey, l_linenumber, CASE WHEN (qa & 24) = 0 AND l_partkey % 3 = 0 THEN value END AS value FROM scenes", longs=("l_linenumber",))
+def saturation_mask(spark, folder):
+    rows = scenes(spark, folder).withColumn("radsat", F.col("l_partkey") % 3)
+    return sc.mask_quality(rows, "value", saturation="radsat").select("l_orderkey", "l_linenumber", "value")
+
+
 # Catalog and month joins
 
 NAMES = f"{SCENES}, names AS (SELECT DISTINCT 'data/landsat/' || band || '_' || year || '_' || lpad(CAST(month AS VARCHAR), 2, '0') || '_' || mission || '.tif' AS path, band, year, month, mission FROM scenes WHERE cloud_cover < 4)"
@@ -177,6 +224,19 @@ def complete_months(spark, folder):
     return files.complete_months(files.parse(_paths(spark, folder)), "landsat", X.BANDS)
 
 
+@query("SELECT 'era5' AS kind, 'precip' AS band, year(o_orderdate) AS year, month(o_orderdate) AS month, 'data/era5/precip/era5_precip_' || strftime(min(o_orderdate), '%Y_%m') || '.tif' AS path FROM orders WHERE o_orderstatus = 'F' GROUP BY 3, 4 UNION ALL SELECT 'avhrr', 'ndvi', year(o_orderdate), month(o_orderdate), 'data/avhrr/avhrr_ndvi_' || strftime(min(o_orderdate), '%Y_%m') || '.tif' FROM orders WHERE o_orderstatus = 'O' GROUP BY 3, 4")
+def climate_files(spark, folder):
+    """Exact names of climate and reference files, parsed; others are passed over."""
+    def names(status: str, *start: str) -> DataFrame:
+        months = _climate_months(spark, folder, status)
+        stem = X.file_stem(F.lit(start[1]), F.col("year"), X.padded_month(F.col("month")))
+        return months.select(F.concat(F.lit(start[0]), stem, F.lit(".tif")).alias("path"))
+
+    paths = names("F", "data/era5/precip/", "era5_precip").unionByName(names("O", "data/avhrr/", "avhrr_ndvi"))
+    odd = spark.createDataFrame([("data/era5/precip/era5_snow_1995_01.tif.aux",), ("notes.txt",)], "path string")
+    return files.first_file(files.parse(paths.unionByName(odd))).drop("mission")
+
+
 def _climate_months(spark, folder, status: str) -> DataFrame:
     t = read(spark, folder, "orders").where(F.col("o_orderstatus") == status)
     return coverage.with_month(t, "o_orderdate").select("year", "month").distinct()
@@ -355,8 +415,8 @@ def band_stack(spark, folder):
 )
 def climate_stack(spark, folder):
     t = read(spark, folder, "orders")
-    one = lambda s, n: t.where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.max("o_totalprice").alias(n))
-    return one("F", "precip").join(one("O", "temp"), "o_custkey")
+    one = lambda s: t.where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.max("o_totalprice").alias("value"))
+    return grid.stack_climate(one("F"), one("O"), "o_custkey")
 
 
 def static_layer(spark, folder) -> DataFrame:
@@ -498,6 +558,25 @@ def flatten_grid(spark, folder):
     return grid.flatten(rasters(spark, folder), SIDE).withColumn("value", _r("value"))
 
 
+@query(f"WITH {RASTERS} SELECT 'r' || vec_id AS path, 8 AS height, 8 AS width, row, col, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM rasters")
+def raster_files(spark, folder):
+    """Rasters encoded as files, written, read and decoded."""
+    path = tables.scratch(spark, "rasters")
+    named = rasters(spark, folder).withColumn("name", F.concat(F.lit("r"), F.col("vec_id").cast("string")))
+    raster.write_rasters(named, SIDE, SIDE).write.parquet(path)
+    back = raster.decode_rasters(spark.read.parquet(path).withColumnRenamed("name", "path"))
+    return back.withColumn("value", _r("value"))
+
+
+@query("SELECT 'dem' AS path, 8 AS height, 8 AS width, 30.0::DOUBLE AS pixel_x, 30.0::DOUBLE AS pixel_y, 450000.0::DOUBLE AS origin_x, 9990000.0::DOUBLE AS origin_y, 21097 AS epsg")
+def raster_header(spark, folder):
+    """Shape and georeferencing of the static layer's file, as the filled months' files get them."""
+    like = raster.Header(SIDE, SIDE, (30.0, 30.0), (450000.0, 9990000.0), 21097)
+    named = static_layer(spark, folder).withColumn("name", F.lit("dem"))
+    encoded = raster.write_rasters(named, SIDE, SIDE, value="dem", like=like)
+    return raster.read_headers(encoded.withColumnRenamed("name", "path"))
+
+
 _axis = "SELECT o, CAST(floor(s) AS INT) AS a, least(CAST(floor(s) AS INT) + 1, 7) AS b, s - floor(s) AS w FROM (SELECT o, greatest(least((o + 0.5) * 0.5 - 0.5, 7.0), 0.0) AS s FROM range(16) t(o))"
 
 
@@ -574,6 +653,43 @@ def rbf_forward(spark, folder):
     return model.predict(rows, held, ("vec_id",)).withColumn("p", _r("p"))
 
 
+@query(f"WITH {ACTS} SELECT vec_id, round(sum(a * (c + 1) * 0.1), 6) AS p FROM acts GROUP BY 1")
+def saved_model(spark, folder):
+    """The same predictions by a model that was saved and loaded."""
+    rows, names = _wide(spark, folder)
+    c = _center_matrix(spark, folder)
+    path = tables.scratch(spark, "model")
+    model.RbfModel(c, GAMMA, (np.arange(len(c))[:, None] + 1) * 0.1, np.zeros(64), np.ones(64), names, ("p",)).save(spark, path)
+    return model.predict(rows, model.RbfModel.load(spark, path), ("vec_id",)).withColumn("p", _r("p"))
+
+
+@query(
+    f"WITH {CENTERS}, far AS (SELECT l.vec_id, c.c, sum((l.v - c.m) * (l.v - c.m)) AS d FROM long l JOIN center_cells c ON l.i = c.i GROUP BY 1, 2), home AS (SELECT vec_id, min_by(c, d) AS c FROM far GROUP BY 1) SELECT h.c AS center, l.i - 1 AS position, round(avg(l.v), 6) + 0.0 AS value FROM home h JOIN long l ON h.vec_id = l.vec_id GROUP BY 1, 2"
+)
+def kmeans_step(spark, folder):
+    """One step of k-means from the labels' means: each centre moves to the mean of the vectors nearest to it."""
+    rows, names = _wide(spark, folder)
+    moved = model.fit_many_centers(rows, names, (10,), steps=1, starts={10: [_center_matrix(spark, folder)]})[10]
+    cells = [(i, j, float(v)) for (i, j), v in np.ndenumerate(moved)]
+    return spark.createDataFrame(cells, "center long, position long, value double").withColumn("value", _r("value"))
+
+
+_trial = "SELECT {t} AS trial, 2 AS num_centers, {p}::DOUBLE AS lambda_reg, (u * r - v * q) / (p * r - q * q) AS a, (v * p - u * q) / (p * r - q * q) AS b FROM (SELECT sum(a * a) + {p}::DOUBLE AS p, sum(a * b) AS q, sum(b * b) + {p}::DOUBLE AS r, sum(a * label) AS u, sum(b * label) AS v FROM w WHERE vec_id % 4 <> 0)"
+_trials = " UNION ALL ".join(_trial.format(t=t, p=p) for t, p in enumerate((0.01, 0.5, 5.0)))
+
+
+@query(
+    f"WITH {ACTS}, w AS (SELECT vec_id, any_value(label) AS label, max(a) FILTER (c = 0) AS a, max(a) FILTER (c = 1) AS b FROM acts JOIN embeddings USING (vec_id) GROUP BY 1), weights AS ({_trials}), scored AS (SELECT trial, num_centers, lambda_reg, sqrt(avg((w.label - w.a * weights.a - w.b * weights.b) ** 2)) AS rmse FROM w, weights WHERE vec_id % 4 = 0 GROUP BY 1, 2, 3) SELECT trial, num_centers, lambda_reg, round(rmse, 5) AS rmse, rmse = (SELECT min(rmse) FROM scored) AS is_best FROM scored"
+)
+def grid_trials(spark, folder):
+    """The grid search's trials over given centres."""
+    rows, names = _wide(spark, folder)
+    fit, held = rows.where("vec_id % 4 <> 0"), rows.where("vec_id % 4 = 0")
+    best, trials = model.grid_search(fit, held, names, ("y",), (2,), (0.01, 0.5, 5.0), centers={2: _center_matrix(spark, folder, 2)}, gamma=GAMMA)
+    found = [(t, k, p, round(e, 5), p == best["lambda_reg"]) for t, k, p, e in trials]
+    return spark.createDataFrame(found, "trial long, num_centers long, lambda_reg double, rmse double, is_best boolean")
+
+
 @query(
     f"WITH {ACTS}, w AS (SELECT vec_id, max(a) FILTER (c = 0) AS a, max(a) FILTER (c = 1) AS b FROM acts GROUP BY 1), s AS (SELECT sum(a * a) + 0.5 AS p, sum(a * b) AS q, sum(b * b) + 0.5 AS r, sum(a * label) AS u, sum(b * label) AS v FROM w JOIN embeddings USING (vec_id)) SELECT 0 AS center, round((u * r - v * q) / (p * r - q * q), 5) AS weight FROM s UNION ALL SELECT 1, round((v * p - u * q) / (p * r - q * q), 5) FROM s",
     longs=("center",),
@@ -592,10 +708,11 @@ def kmeans_fit(spark, folder):
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(found)], "center long, position array<double>")
 
 
-def _training(spark, folder) -> DataFrame:
-    rows = gapfill.training_rows(matrix(spark, folder), ["row", "col"], None)
+def _training(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Standardized rows with is_train, and the kept table they come from."""
+    rows = gapfill.training_rows(matrix(spark, folder), ["row", "col"], None).persist()
     split = features.temporal_split(rows, ["row", "col"])
-    return features.standardize(split, features.stats_of(split, *X.FEATURES)).persist()
+    return features.standardize(split, features.stats_of(split, *X.FEATURES)), rows
 
 
 @query()
@@ -606,18 +723,44 @@ def ridge_fit(spark, folder):
 
 @query()
 def grid_search(spark, folder):
-    rows = _training(spark, folder)
+    rows, kept = _training(spark, folder)
     best, trials = model.grid_search(rows.where("is_train"), rows.where("NOT is_train"), X.FEATURES, X.BANDS)
-    rows.unpersist()
+    kept.unpersist()
     return spark.createDataFrame(trials, "trial long, num_centers long, lambda_reg double, rmse double").withColumn("is_best", (F.col("num_centers") == best.get("num_centers", -1)) & (F.col("lambda_reg") == best.get("lambda_reg", -1.0)))
 
 
+_NDVI = "(nir - red) / (nir + red + 1e-6::DOUBLE)"
+_BSI = "((swir1 + red) - (nir + blue)) / ((swir1 + red) + (nir + blue) + 1e-6::DOUBLE)"
+FILL_WEIGHTS = [[0.1 * (i + 1) * (j + 1) for j in range(7)] for i in range(2)]
+
+
+def _filled(spark, folder, fitted: model.RbfModel) -> DataFrame:
+    observed = pixels(spark, folder).select("year", "month").distinct().where("month <> 7")
+    return gapfill.fill_gaps(fitted, coverage.calendar(spark, FIRST, LAST), observed, climate(spark, folder), static_layer(spark, folder))
+
+
+_act = lambda c: f"exp(-0.001 * ({' + '.join(f'(m.{f} - {c}) * (m.{f} - {c})' for f in X.FEATURES)}))"
+_fill = {b: f"0.1 * {j + 1} * a + 0.2 * {j + 1} * b" for j, b in enumerate(X.BANDS)}
+
+
+@query(
+    f"WITH {CLIMATE}, {STATIC}, m AS (SELECT c.month, c.row, c.col, d.dem, d.x, d.y, sin(2 * pi() * c.month / 12.0) AS month_sin, cos(2 * pi() * c.month / 12.0) AS month_cos, (c.year - 1998) / 4.0 AS year, (c.precip - 150) / 100 AS precip, c.temp / 300 AS temp, c.year AS y0 FROM climate c JOIN dem d ON d.row = c.row AND d.col = c.col WHERE c.year BETWEEN {FIRST} AND {LAST} AND c.month = 7), acts AS (SELECT y0 AS year, month, row, col, {_act(0)} AS a, {_act(1)} AS b FROM m), cube AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _fill.items())} FROM acts) SELECT year, month, row, col, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in X.BANDS)}, round({_NDVI}, 6) + 0.0 AS ndvi, round({_BSI}, 6) + 0.0 AS bsi, round(({_NDVI} + (1 - thermal)) / 2, 6) + 0.0 AS vhi, 'interpolated' AS source FROM cube",
+    longs=("row", "col"),
+)
+def fill_known_model(spark, folder):
+    """The filled months of a model with given centres and weights."""
+    middle = {"year": (1998.0, 4.0), "precip": (150.0, 100.0), "temp": (0.0, 300.0)}
+    mean, scale = (np.array([middle.get(f, (0.0, 1.0))[i] for f in X.FEATURES]) for i in (0, 1))
+    centers = np.array([[0.0] * len(X.FEATURES), [1.0] * len(X.FEATURES)])
+    done = _filled(spark, folder, model.RbfModel(centers, 0.001, np.array(FILL_WEIGHTS), mean, scale, X.FEATURES, X.BANDS))
+    return done.withColumns({c: _r(c) for c in (*X.BANDS, "ndvi", "bsi", "vhi")})
+
+
 @query()
 def fill_gaps(spark, folder):
-    observed = pixels(spark, folder).select("year", "month").distinct().where("month <> 7")
     known = matrix(spark, folder).where("month <> 7")
     fitted, _ = gapfill.fit_pipeline(known, files.load_config())
-    return gapfill.fill_gaps(fitted, coverage.calendar(spark, FIRST, LAST), observed, climate(spark, folder), static_layer(spark, folder))
+    return _filled(spark, folder, fitted)
 
 
 # Evaluation
@@ -656,18 +799,14 @@ def band_metric_names(spark, folder):
     return metrics.named_bands(wide, X.BANDS).withColumn("value", _r("value"))
 
 
-_ndvi = "(nir - red) / (nir + red + 1e-6::DOUBLE)"
-_bsi = "((swir1 + red) - (nir + blue)) / ((swir1 + red) + (nir + blue) + 1e-6::DOUBLE)"
-
-
-@query(f"WITH {PIXELS} SELECT year, month, row, col, round({_ndvi}, 6) + 0.0 AS ndvi, round({_bsi}, 6) + 0.0 AS bsi, round(({_ndvi} + (1 - thermal)) / 2, 6) + 0.0 AS vhi FROM pixels", longs=("row", "col"))
+@query(f"WITH {PIXELS} SELECT year, month, row, col, round({_NDVI}, 6) + 0.0 AS ndvi, round({_BSI}, 6) + 0.0 AS bsi, round(({_NDVI} + (1 - thermal)) / 2, 6) + 0.0 AS vhi FROM pixels", longs=("row", "col"))
 def spectral_indices(spark, folder):
     done = gapfill.spectral_indices(pixels(spark, folder))
     return done.select("year", "month", "row", "col", *(_r(c).alias(c) for c in ("ndvi", "bsi", "vhi")))
 
 
 @query(
-    f"WITH {PIXELS}, a AS (SELECT year, month, avg({_ndvi}) AS predicted FROM pixels GROUP BY 1, 2), b AS (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, avg(o_totalprice / 1000000) AS reference FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2) SELECT a.year, a.month, round(predicted, 6) + 0.0 AS predicted, round(reference, 6) + 0.0 AS reference, round(abs(predicted - reference), 6) + 0.0 AS difference FROM a LEFT JOIN b USING (year, month)"
+    f"WITH {PIXELS}, a AS (SELECT year, month, avg({_NDVI}) AS predicted FROM pixels GROUP BY 1, 2), b AS (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, avg(o_totalprice / 1000000) AS reference FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2) SELECT a.year, a.month, round(predicted, 6) + 0.0 AS predicted, round(reference, 6) + 0.0 AS reference, round(abs(predicted - reference), 6) + 0.0 AS difference FROM a LEFT JOIN b USING (year, month)"
 )
 def reference_compare(spark, folder):
     ndvi = gapfill.spectral_indices(pixels(spark, folder)).select("year", "month", "ndvi")

@@ -31,12 +31,36 @@ DEFAULTS = {
 }
 
 
+# Where nested configuration files keep these settings.
+NESTED = {
+    ("landsat", "bands"): "bands",
+    ("landsat", "training_years"): "train_years",
+    ("landsat", "gap_years"): "gap_years",
+    ("model", "rbfn", "num_centers"): "num_centers",
+    ("model", "rbfn", "gamma"): "gamma",
+    ("model", "rbfn", "regularization_lambda"): "lambda_reg",
+    ("model", "rbfn", "validation_holdout_ratio"): "val_ratio",
+    ("model", "rbfn", "pixels_per_month"): "max_pixels_per_month",
+}
+
+
 def load_config(path: str | None = None) -> dict:
-    """The defaults, overlaid with a YAML file's top-level values."""
+    """The defaults, overlaid with a YAML file's top-level values and those of nested sections.
+
+    Band names come in lower case. Nested settings beyond the known ones are kept under ``sections``.
+    """
     found = yaml.safe_load(Path(path).read_text()) or {} if path else {}
     if not isinstance(found, dict):
         raise ValueError("the configuration must be a mapping")
-    return DEFAULTS | found
+    settings = DEFAULTS | {k: v for k, v in found.items() if not isinstance(v, dict)}
+    for place, name in NESTED.items():
+        value = found
+        for step in place:
+            value = value.get(step) if isinstance(value, dict) else None
+        if value is not None:
+            settings[name] = value
+    settings["bands"] = [str(b).lower() for b in settings["bands"]]
+    return settings | {"sections": {k: v for k, v in found.items() if isinstance(v, dict)}}
 
 
 def parse(paths: DataFrame, path: str = "path") -> DataFrame:

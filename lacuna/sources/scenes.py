@@ -40,5 +40,17 @@ def prepare(long: DataFrame, qa: str = "qa") -> DataFrame:
     return rename_bands(scale_bands(mask_quality(long, "value", qa=qa)))
 
 
+# The gap months of 1995 to 2024.
+GAP_MONTHS = {
+    1995: (6, 9, 10, 11, 12), 1996: (1, 2, 3, 4, 5, 6, 7, 9, 11), 1997: (1, 2, 3, 4, 6, 8, 9, 11, 12),
+    1998: (1, 2, 3, 4, 5, 7, 8, 10, 11, 12), 1999: (1, 2, 3, 6, 7, 11, 12), 2000: (11,), 2001: (1, 11, 12), 2003: (6, 9, 11),
+    2005: (4,), 2006: (3, 12), 2007: (6, 11), 2008: (7,), 2009: (5,), 2010: (6, 11), 2011: (5, 6, 11), 2012: (8,), 2016: (4,), 2019: (12,), 2024: (7,),
+}
+
+
+def known_gaps() -> list[tuple[int, int]]:
+    return [(y, m) for y, months in GAP_MONTHS.items() for m in months]
+
+
 def constant_months(spark: SparkSession, months: list[tuple[int, int]]) -> DataFrame:
     return spark.createDataFrame(months, "year int, month int")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators.coverage import MISSIONS, gap_literal
+from lacuna.operators.coverage import MISSIONS, gap_literal, gap_script
 
 COUNT_COLUMNS = ["year", "month", "date_label", *(f"{m}_L2" for m in MISSIONS), "total_L2", *(f"{m}_L1" for m in MISSIONS), "total_L1", "l1_minus_l2"]
 COUNT_SCHEMA = ", ".join(f"{c} {'string' if c == 'date_label' else 'int' if c in ('year', 'month') else 'long'}" for c in COUNT_COLUMNS)
@@ -15,6 +18,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a temporary one only for a local session without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lacuna-")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def write_counts(counts: DataFrame, path: str) -> None:
     """The monthly count table as CSV with a header, columns in fixed order."""
     counts.select(*COUNT_COLUMNS).coalesce(1).write.mode("overwrite").csv(path, header=True)
@@ -42,3 +55,8 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 def write_gap_literal(gaps: DataFrame, path: str) -> None:
     gap_literal(gaps).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_gap_script(gaps: DataFrame, path: str) -> None:
+    """The whole statement, list and all."""
+    gap_script(gaps).coalesce(1).write.mode("overwrite").text(path)

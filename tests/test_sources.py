@@ -1,4 +1,5 @@
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -138,3 +139,67 @@ def test_no_rows_is_an_error(spark, small):
 
 def test_calendar_is_inclusive(spark):
     assert coverage.calendar(spark, 1995, 1999).count() == 60
+
+
+def test_nested_configuration(tmp_path):
+    file = tmp_path / "c.yaml"
+    file.write_text("landsat: {bands: [Red, NIR], training_years: [2001, 2002]}\nmodel: {rbfn: {num_centers: 9, gamma: null, regularization_lambda: 0.5, validation_holdout_ratio: 0.1, pixels_per_month: 5}}\nseed: 1\n")
+    cfg = catalog.load_config(str(file))
+    assert (cfg["bands"], cfg["train_years"], cfg["num_centers"], cfg["lambda_reg"], cfg["val_ratio"], cfg["max_pixels_per_month"], cfg["seed"]) == (["red", "nir"], [2001, 2002], 9, 0.5, 0.1, 5, 1)
+
+
+def test_georeferencing_goes_out_and_in():
+    like = raster.Header(3, 4, (30.0, 20.0), (500.5, 900.25), 21097)
+    raw = raster.encode(np.arange(12.0).reshape(3, 4), like)
+    assert raster.header(raw) == like and np.array_equal(raster.decode(raw), np.arange(12.0).reshape(3, 4))
+    assert raster.header(raster.encode(np.zeros((2, 5)))) == raster.Header(2, 5)
+
+
+def pack_lzw(data):
+    out, bits, n, table = bytearray(), 0, 0, {}
+
+    def put(code):
+        nonlocal bits, n
+        width = max(9, min(12, (len(table) + 258 + 0).bit_length())) if table or code != 256 else 9
+        bits, n = bits << width | code, n + width
+        while n >= 8:
+            n -= 8
+            out.append(bits >> n & 255)
+        bits &= (1 << n) - 1
+
+    put(256)
+    word = b""
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if len(word + c) == 1 or word + c in table:
+            word += c
+            continue
+        put(word[0] if len(word) == 1 else table[word])
+        table[word + c] = 258 + len(table)
+        word = c
+    put(word[0] if len(word) == 1 else table[word])
+    table[b"end"] = 0
+    put(257)
+    if n:
+        out.append(bits << 8 - n & 255)
+    return bytes(out)
+
+
+def test_codecs():
+    rng = np.random.default_rng(0)
+    for data in (bytes(range(256)) * 2, b"ab" * 400, bytes(rng.integers(0, 4, 1500, dtype=np.uint8))):
+        assert raster.unpack_lzw(pack_lzw(data)) == data
+    assert raster.unpack_bits(bytes([254, 170, 2, 128, 0, 42, 253, 170, 128])) == bytes([170, 170, 170, 128, 0, 42, 170, 170, 170, 170])
+    cells = rng.normal(size=(3, 5)).astype("<f4")
+    planes = cells.astype(">f4").view(np.uint8).reshape(3, 5, 4).transpose(0, 2, 1).reshape(3, 20)
+    body = zlib.compress(np.diff(planes, axis=1, prepend=0).astype(np.uint8).tobytes())
+    tags = [(256, 5), (257, 3), (258, 32), (259, 8), (273, 8), (277, 1), (278, 3), (279, len(body)), (317, 3), (339, 3)]
+    body += bytes(len(body) % 2)
+    raw = struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+    assert np.array_equal(raster.decode(raw), cells)
+
+
+def test_gap_script_file(spark, tmp_path):
+    tables.write_gap_script(spark.createDataFrame([(1995, 9), (1995, 6)], "year int, month int"), str(tmp_path / "g"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "g")).collect()]
+    assert lines == ["var gapMonths = [", "  {y: 1995, m: 6},", "  {y: 1995, m: 9}", "];"]
