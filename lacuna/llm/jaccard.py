@@ -333,7 +333,11 @@ def connect(members: DataFrame, percent: int, exact: bool) -> DataFrame:
     block; clusters that it leaves in several pieces go on to tiles of two blocks, where
     only members of different pieces are compared. ``members`` is a written table.
     """
-    calls = lambda df: max(1, int((df.agg(F.sum(F.octet_length("payload") + 48)).first()[0] or 0) / CALL_BYTES) + 1)
+
+    def calls(df: DataFrame) -> int:
+        rows, size = df.agg(F.count("*"), F.sum(F.octet_length("payload") + 48)).first()
+        return max(rows // (2 * BLOCK), (size or 0) // CALL_BYTES) + 1
+
     fits = F.col("m") <= 2 * BLOCK
     small = members.where(fits).withColumns({"tile": F.lit(""), "label": F.col("rep")})
     links = materialize(_links(small, percent, exact, calls(members)), "links")
