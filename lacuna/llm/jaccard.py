@@ -7,8 +7,9 @@
    differ in at most d shingles; the hash range is cut into more than d parts, so
    they agree on one part at least. Each part's content, hashed, is a key under
    which sets meet. Nothing is missed.
-3. Keys that two sets share are found by counting, with partial sums, so that a key of very many sets
-   is never held by one task. Where sets meet, hashed bitmaps come along: bit counts bound the overlap of a pair
+3. Keys that two sets may share are found by counting 40 bits of each, with partial sums, so that a key of very
+   many sets is never held by one task. A filter of bounded size, which loses none of them, picks the few keys that are
+   worth moving. Where sets meet, hashed bitmaps come along: bit counts bound the overlap of a pair
    from above, and a meeting keeps only the pairs the bound lets through, as few edges as connect them. So a passage
    that many texts share brings them together under a key but doesn't tie them into one cluster.
 4. In the clusters that remain, pairs are intersected exactly, again behind the bound.
@@ -25,7 +26,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +40,10 @@ BLOCK = 512
 PIVOTS = 8
 #: Bytes of sets or bitmaps that one call gets, in whole tiles.
 CALL_BYTES = 8 << 20
+#: Bits of a key that are counted, and keys for each word of the filter, which never has more than ``BROADCAST_BYTES``.
+COUNTED_BITS, KEYS_A_WORD = 40, 4
+#: Keys in a shard of the filter, about, which one call builds.
+SHARD_KEYS = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -168,6 +174,7 @@ SETS = T.StructType(
         T.StructField("node", T.LongType()),
         T.StructField("bits", T.BinaryType()),
         T.StructField("keys", T.ArrayType(T.LongType(), False)),
+        T.StructField("task", T.IntegerType()),
     ]
 )
 
@@ -193,7 +200,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches):
-        hashes, known, bands = WordHashes(), Known(), bands_of(percent)
+        hashes, known, bands, task = WordHashes(), Known(), bands_of(percent), TaskContext.get().partitionId()
         kind = pa.list_(pa.field("element", pa.int64(), nullable=False))
         for batch in chunks(batches, "text", 2 << 20):
             out: dict = {"n": [], "digest": [], "node": [], "bits": []}
@@ -211,23 +218,96 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
             some = [k for k in keys if k is not None]
             values = np.concatenate(some).view(np.int64) if some else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=kind)
-            yield out | {"doc_id": batch.column(0), "text_hash": batch.column(1), "keys": lists}
+            yield out | {"doc_id": batch.column(0), "text_hash": batch.column(1), "keys": lists, "task": [task] * len(keys)}
 
     return arrow_map(spread(rows), run, SETS)
 
 
+class KeyFilter:
+    """Bloom filters of one word a key, one for each remainder of a key's counted bits. They hold every key that went in, and some others."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words  # a row for each shard
+
+    @staticmethod
+    def places(short: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """A key's word among its shard's ``size`` and the three bits it has there."""
+        h = mix(short + np.uint64(0x9E3779B97F4A7C15))
+        one, six = np.uint64(1), np.uint64(63)
+        bits = one << (h & six) | one << (h >> np.uint64(6) & six) | one << (h >> np.uint64(12) & six)
+        return ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64), bits
+
+    @classmethod
+    def shard(cls, short: np.ndarray, size: int) -> np.ndarray:
+        words = np.zeros(size, np.uint64)
+        at, bits = cls.places(short, size)
+        np.bitwise_or.at(words, at, bits)
+        return words
+
+    def holds(self, short: np.ndarray) -> np.ndarray:
+        shards, size = self.words.shape
+        at, bits = self.places(short, size)
+        return self.words[(short % np.uint64(shards)).astype(np.int64), at] & bits == bits
+
+
+def key_filter(shared: DataFrame) -> KeyFilter:
+    """The filter of the counted bits in ``shared`` (short). With more keys than fit ``BROADCAST_BYTES`` it lets more others through."""
+    rows = shared.count()
+    shards = rows // SHARD_KEYS + 8
+    size = max(1, min(rows // KEYS_A_WORD, max(0, BROADCAST_BYTES) // 8) // shards)
+    kind = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("words", T.BinaryType())])
+    target = pa.schema([("shard", pa.int32()), ("words", pa.binary())])
+
+    def build(table: pa.Table) -> pa.Table:
+        words = KeyFilter.shard(table.column("short").to_numpy().view(np.uint64), size)
+        return pa.table({"shard": [table.column("shard")[0].as_py()], "words": [words.tobytes()]}, schema=target)
+
+    built = shared.withColumn("shard", (F.col("short") % shards).cast("int")).groupBy("shard").applyInArrow(build, kind)
+    words = np.zeros((shards, size), np.uint64)
+    for row in built.collect():
+        words[row.shard] = np.frombuffer(row.words, np.uint64)
+    return KeyFilter(words)
+
+
+def meetings(sets: DataFrame) -> DataFrame:
+    """(key, node), each once, of all keys that sets of two nodes have and of some others, as a written table.
+
+    The keys lie in the written sets. Of each only the counted bits are shuffled, once; of the whole keys, only those
+    that the filter lets through. So bytes moved follow the number of keys at any size.
+    """
+    holders = sets.where(F.size("keys") > 0).select("node", "keys", "task")
+    # Tasks that met equal sets gave their keys more than once; the first task's are enough.
+    again = materialize(holders.groupBy("node").agg(F.min("task").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated-sets")
+    if again.count() * 64 <= BROADCAST_BYTES:
+        holders = holders.join(F.broadcast(again), "node", "left").where("first IS NULL OR first = task")
+    low = (1 << COUNTED_BITS) - 1
+    short = holders.select(F.explode("keys").alias("key")).select(F.col("key").bitwiseAND(F.lit(low)).alias("short"))
+    shared = materialize(short.groupBy("short").agg(F.count("*").alias("c")).where("c > 1").select("short"), "shared-keys")
+    held = sets.sparkSession.sparkContext.broadcast(key_filter(shared))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            passed = np.flatnonzero(held.value.holds(keys.view(np.uint64) & np.uint64(low)))
+            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            yield {"key": keys[passed], "node": nodes[passed]}
+
+    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType())])
+    met = materialize(arrow_map(holders.select("node", "keys"), run, kind).distinct(), "meetings")
+    release(again, shared)
+    held.destroy()
+    return met
+
+
 def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
     """(node, cluster) of sets that the bitmaps' bound connects with another set under some key.
 
-    Rows by key are read twice, first to count and then to keep the few that share a
-    key; every shuffle is either pre-aggregated or spread by more than the key.
+    Every shuffle is either pre-aggregated or spread by more than the key.
     """
-    keyed = sets.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows"))
-    shared = materialize(shared.where("lo <> hi").select("key", "rows"), "shared-keys")
-    met = materialize(join_counted(keyed, shared, ["key"]).select("key", "node").distinct(), "meetings")
+    met = meetings(sets)
     hashed = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
-    company = met.groupBy("key").agg(F.count("*").alias("m"), *hashed)
+    company = met.groupBy("key").agg(F.count("*").alias("m"), *hashed).where("m > 1")
     # Near copies meet under many keys in the same company; one meeting of each company is enough.
     once = company.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m", F.col("m").alias("rows"))
     once = materialize(once, "companies")
@@ -235,7 +315,7 @@ def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
     members = join_counted(met, once, ["key"]).join(maps, "node")
     members = members.select(F.col("key").alias("cluster"), "m", F.col("node").alias("rep"), F.lit(0).alias("band"), "n", "payload")
     members = materialize(members, "members")
-    release(shared, met, once)
+    release(met, once)
     found = components(connect(members, percent, exact=False)).withColumnRenamed("component", "cluster")
     release(members)
     return found

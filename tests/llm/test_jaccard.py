@@ -176,3 +176,32 @@ def test_number_of_links(spark, monkeypatch, odd_rows):
     want = sorted(((doc, len(s), m) for (doc, _), s, m in zip(rows, sets, n_links)), key=repr)
     assert found(got.select("doc_id", "n_shingles", "n_links")) == want
     assert found(got.select("doc_id", "n_shingles", "component_id")) == brute(rows, 4, 85)
+
+
+def test_keys_move_once_however_many_are_shared(spark, monkeypatch):
+    from lacuna.llm import runtime
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(80)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join([*base[:40], "x", *base[41:]]))] if i % 4 else [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base))]
+    rows += [(10_000 + i, " ".join(f"v{rng.randrange(10_000)}" for _ in range(80))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = runtime.materialize(jaccard.shingle_sets(df, 4, 85, "doc_id", "text"), "shingle-sets")
+    nodes = {}
+    for r in sets.collect():
+        for key in r["keys"] or []:
+            nodes.setdefault(key, set()).add(r.node)
+    want = {(k, n) for k, found in nodes.items() if len(found) > 1 for n in found}
+    assert len(want) > 2000
+    # The second has too little room for its keys and the third none, as where they are past any broadcast.
+    for room, most in ((1 << 20, 0.05), (2400, 0.5), (-1, 1)):
+        monkeypatch.setattr(jaccard, "BROADCAST_BYTES", room)
+        met = {tuple(r) for r in jaccard.meetings(sets).collect()}
+        assert want <= met and len(met - want) <= most * sum(map(len, nodes.values()))
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 1 << 20)
+    sides = []
+    monkeypatch.setattr(jaccard, "join_counted", lambda left, *rest: sides.append(left.count()) or runtime.join_counted(left, *rest))
+    assert jaccard.candidate_clusters(sets, 85).count() >= 600
+    assert max(sides) < 0.5 * sum(map(len, nodes.values()))
