@@ -503,15 +503,21 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     for itself. Rows with a null id take part; a component of such rows alone has
     a null component. Other columns are not read; an empty table gives no rows.
     """
+    return _found(docs, n, percent, id_col, text_col)[0]
+
+
+def _found(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """The rows of ``jaccard_classes`` and the scratch tables that they are read from."""
     sets = materialize(shingle_sets(docs, n, percent, id_col, text_col), "shingle-sets")
     classes = materialize(_classes(sets), "classes")
     members = _candidates(docs, sets, classes, n, percent, id_col, text_col)
     named = _name(sets, classes, connect(members, percent, exact=True))
     release(members)
     named = materialize(named.select("digest", "component_id", F.col("m").alias("rows")), "components")
+    release(classes)
     some = join_counted(sets.where("n > 0").select("doc_id", "n", "digest"), named, ["digest"])
     none = sets.where("n = 0").select("doc_id", "n", "digest", F.col("doc_id").alias("component_id"))
-    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id"), (sets, named)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -525,9 +531,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     if len(set(ids)) > 1:
         key = unused(docs, "row")[0]
         docs = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    found = jaccard_classes(docs, n, percent, key, text_col)
+    found, tables = _found(docs, n, percent, key, text_col)
     gone_id = unused(docs, "gone")[0]
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)), "duplicates")
+    release(*tables)
     if gone.count() * 64 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     kept = docs.join(gone, F.col(key).cast("long") == F.col(gone_id), "left_anti")

@@ -205,3 +205,12 @@ def test_keys_move_once_however_many_are_shared(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "join_counted", lambda left, *rest: sides.append(left.count()) or runtime.join_counted(left, *rest))
     assert jaccard.candidate_clusters(sets, 85).count() >= 600
     assert max(sides) < 0.5 * sum(map(len, nodes.values()))
+
+
+def test_scratch_tables_go_when_rows_are_chosen(spark):
+    from lacuna.llm import runtime
+
+    before = set(runtime._written)
+    df = spark.createDataFrame([(i, " ".join(f"w{i % 7}_{k}" for k in range(30))) for i in range(40)], "doc_id long, text string")
+    assert jaccard.one_of_each(df).count() == 7
+    assert not [x for x in runtime._written if x not in before and "shingle-sets" in x]
