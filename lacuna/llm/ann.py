@@ -4,8 +4,9 @@ A bounded sample's neighbour graph is cut into balanced partitions with few cut
 small classifier learns from a vector to say in which partitions its neighbours lie.
 Every row is indexed in its most probable partition, and each query is routed to its
 several most probable ones, as many as reach the wanted recall on held-out vectors of the
-sample. Queries and rows of a partition meet in bounded tiles, where inner products are
-computed exactly; each query's best are merged.
+sample. Blocks of queries with neighbouring homes each see the rows of the partitions that they ask
+stream past in several lanes. There inner products are computed exactly and each query's best so far are kept, so a
+lane gives a query's best once, however many partitions it asks; the lanes' are merged.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
 PART_ROWS, FEWEST, MOST = 1_024, 8, 256
 #: Recall that the number of partitions asked must reach on the sample's held-out queries.
 RECALL = 0.96
-#: Rows, and queries, in a tile.
-ROWS, QUERIES = 8_192, 2_048
+#: Rows that a block of queries meets at once, queries in a block, bytes of their vectors at most, and queries in one product.
+ROWS, QUERIES, QUERY_BYTES, AT_ONCE = 2_048, 8_192, 16 << 20, 1_024
+#: Lanes that a block's rows are dealt over, and rows that a lane may have before there are more lanes; tasks at most.
+LANES, LANE_ROWS, TASKS = 8, 2 << 20, 4_096
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -175,16 +178,19 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(-1, dim)
 
 
-def best_in_tile(ids: np.ndarray, own: np.ndarray, x: np.ndarray, query_rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k nearest rows of a tile, without the query's own row: (place of the query, id, score).
+def best_in_tile(
+    ids: np.ndarray, own: np.ndarray, x: np.ndarray, query_rows: np.ndarray, q: np.ndarray, k: int, asked: np.ndarray, least: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k nearest rows of those that it ``asked`` for, without the query's own row: (place of the query, id, score).
 
+    Rows surely below ``least``, the query's k-th best so far, may be left out.
     A fast product picks all rows near the k-th best, ties included; their scores are then
     summed the same way for every pair, so equal vectors have equal scores.
     """
     s = q @ x.T
-    s[query_rows[:, None] == own[None, :]] = -np.inf
+    s[~asked | (query_rows[:, None] == own[None, :])] = -np.inf
     n = min(k, x.shape[0])
-    edge = np.partition(s, x.shape[0] - n, axis=1)[:, x.shape[0] - n]
+    edge = np.maximum(np.partition(s, x.shape[0] - n, axis=1)[:, x.shape[0] - n], least)
     slack = 1e-9 * np.maximum(1.0, np.abs(edge))
     edge = np.where(np.isfinite(edge), edge - slack, -np.finfo(float).max)
     rows, cols = np.nonzero(s >= edge[:, None])
@@ -198,6 +204,80 @@ def best_in_tile(ids: np.ndarray, own: np.ndarray, x: np.ndarray, query_rows: np
     return rows[keep], ids[cols[keep]], score[keep]
 
 
+class Best:
+    """The k nearest rows of each query of a block among the rows seen so far, ties to smaller ids."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, asks: np.ndarray, k: int):
+        self.ids, self.rows, self.q, self.asks, self.k = ids, rows, q, asks, k  # asks: whether a query asks a partition
+        self.score = np.full((len(ids), k), -np.inf)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def see(self, ids: np.ndarray, own: np.ndarray, x: np.ndarray, parts: np.ndarray) -> None:
+        asking = np.flatnonzero(self.asks[:, np.unique(parts)].any(1))
+        for start in range(0, len(asking), AT_ONCE):
+            some = asking[start : start + AT_ONCE]
+            at, found, score = best_in_tile(ids, own, x, self.rows[some], self.q[some], self.k, self.asks[some][:, parts], self.score[some, -1])
+            changed, at = np.unique(at, return_inverse=True)
+            if not changed.size:
+                continue
+            some = some[changed]
+            at = np.r_[np.repeat(np.arange(len(some)), self.k), at]
+            found, score = np.r_[self.found[some].ravel(), found], np.r_[self.score[some].ravel(), score]
+            order = np.lexsort((found, -score, at))
+            first = np.searchsorted(at[order], np.arange(len(some)))
+            best = order[first[:, None] + np.arange(self.k)]
+            self.found[some], self.score[some] = found[best], score[best]
+
+    def rows_found(self) -> dict:
+        at, rank = np.nonzero(self.score > -np.inf)
+        return {"query_id": self.ids[at], "query_row": self.rows[at], "vec_id": self.found[at, rank], "score": self.score[at, rank]}
+
+
+def stream_past(batches, dim: int, parts: int, k: int, rows: int):
+    """The best of each query of each group, from batches (group, is_row, part, vec_id, row, v, homes) sorted by the first three.
+
+    A group's queries come first and stay; its rows are held ``rows`` at a time.
+    """
+    group, queries, held, count, best = None, [], [], 0, None
+
+    def meet() -> Best:
+        seen = best
+        if seen is None:
+            asks = np.zeros((sum(len(b) for b in queries), parts), bool)
+            homes = np.concatenate([_matrix(b.column(6), b.column(6).value_lengths()[0].as_py()) for b in queries]).astype(np.int64)
+            np.put_along_axis(asks, homes, True, axis=1)
+            ids, own = (np.concatenate([b.column(c).to_numpy() for b in queries]) for c in (3, 4))
+            seen = Best(ids, own, np.concatenate([_matrix(b.column(5), dim) for b in queries]), asks, k)
+        if held:
+            at, ids, own = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (2, 3, 4))
+            x = np.concatenate([_matrix(b.column(5), dim) for b in held])
+            for start in range(0, len(x), rows):
+                now = slice(start, start + rows)
+                seen.see(ids[now], own[now], x[now], at[now])
+        return seen
+
+    for batch in batches:
+        groups, is_row = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        edges = np.flatnonzero((groups[1:] != groups[:-1]) | (is_row[1:] != is_row[:-1])) + 1
+        for start, end in zip(np.r_[0, edges].tolist(), np.r_[edges, len(groups)].tolist()):
+            if start == end:
+                continue
+            if groups[start] != group:
+                if queries:
+                    yield meet().rows_found()
+                group, queries, held, count, best = groups[start], [], [], 0, None
+            part = batch.slice(start, end - start)
+            if not is_row[start]:
+                queries.append(part)
+            elif queries:
+                held.append(part)
+                count += len(part)
+                if count >= rows:
+                    best, held, count = meet(), [], 0
+    if queries:
+        yield meet().rows_found()
+
+
 def search(df: DataFrame, is_query, k: int = 20, parts: int | None = None, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank from 1, vec_id and score of each query's k nearest rows found.
 
@@ -221,11 +301,12 @@ def search(df: DataFrame, is_query, k: int = 20, parts: int | None = None, recal
 
 
 def _near(vectors: DataFrame, dim: int, is_query, k: int, parts: int | None, recall: float) -> DataFrame:
-    """(query_id, query_row, vec_id, score) of the nearest in each tile, for vectors of one length."""
+    """(query_id, query_row, vec_id, score) of the nearest in each lane, for vectors of one length."""
     spark = vectors.sparkSession
+    rows_all = vectors.count()
     if parts is None:
         parts = FEWEST
-        while parts < MOST and parts * PART_ROWS < vectors.count():
+        while parts < MOST and parts * PART_ROWS < rows_all:
             parts *= 2
     most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow()
@@ -243,22 +324,28 @@ def _near(vectors: DataFrame, dim: int, is_query, k: int, parts: int | None, rec
 
     placed = arrow_map(vectors, place, placed_type).withColumn("row", F.monotonically_increasing_id())
     placed = materialize(placed, "placed-vectors")
-    rows = placed.select("vec_id", "row", "v", F.col("homes")[0].alias("part"))
-    queries = placed.where(is_query(F.col("vec_id"))).select("vec_id", "row", "v", F.explode("homes").alias("part"))
-    row_blocks = rows.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("rb"))
-    query_blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qb"))
-    blocks = F.broadcast(row_blocks.join(query_blocks, "part"))  # a row per partition at most
-
-    dealt = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.join(blocks, "part").select("part", dealt("rb").alias("r"), every("qb").alias("q"), "vec_id", "row", "v")
-    right = queries.join(blocks, "part").select("part", every("rb").alias("r"), dealt("qb").alias("q"), F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("v").alias("query"))
-
-    def tile(rows_: pa.Table, queries_: pa.Table) -> pa.Table:
-        if not len(rows_) or not len(queries_):
-            return pa.table({f.name: pa.array([], pa.float64() if f.name == "score" else pa.int64()) for f in FOUND})
-        ids, own, query_ids, query_rows = rows_.column("vec_id").to_numpy(), rows_.column("row").to_numpy(), queries_.column("query_id").to_numpy(), queries_.column("query_row").to_numpy()
-        at, found, score = best_in_tile(ids, own, _matrix(rows_.column("v"), dim), query_rows, _matrix(queries_.column("query"), dim), k)
-        return pa.table({"query_id": query_ids[at], "query_row": query_rows[at], "vec_id": found, "score": score})
-
-    return left.groupBy("part", "r", "q").cogroup(right.groupBy("part", "r", "q")).applyInArrow(tile, FOUND)
+    home = F.col("homes")[0]
+    queries = placed.where(is_query(F.col("vec_id")))
+    size = dict.fromkeys(range(index.parts), 0) | {r.part: r["count"] for r in queries.groupBy(home.alias("part")).count().collect()}  # a number per partition
+    at_most = max(1, min(QUERIES, QUERY_BYTES // (8 * dim)))
+    before = np.cumsum([0, *(size[p] for p in range(index.parts))]).tolist()
+    blocks, lanes = -(-before[-1] // at_most), max(LANES, -(-rows_all // LANE_ROWS))
+
+    def of_home(numbers):
+        return F.element_at(F.array(*[F.lit(n).cast("long") for n in numbers]), home + 1)
+
+    place_in_line = of_home(before[:-1]) + F.pmod(F.xxhash64("row"), of_home(size[p] for p in range(index.parts)))
+    queries = queries.withColumn("block", F.floor(place_in_line / at_most))
+    asked = queries.select("block", F.explode("homes").alias("part")).groupBy("part").agg(F.collect_set("block").alias("blocks"))
+    asked = F.broadcast(asked)  # a row per partition at most
+
+    def grouped(df, block, lane, is_row, homes):
+        return df.select((block * lanes + lane).alias("group"), F.lit(is_row).alias("is_row"), home.alias("part"), "vec_id", "row", "v", homes.alias("homes"))
+
+    left = grouped(queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), F.col("block"), F.col("lane"), False, F.col("homes"))
+    right = placed.join(asked, home == F.col("part")).withColumn("block", F.explode("blocks"))
+    right = grouped(right, F.col("block"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(lanes)), True, F.lit(None).cast("array<int>"))
+    tasks = max(1, min(TASKS, blocks * lanes))
+    met = left.unionByName(right).repartitionById(tasks, F.pmod("group", F.lit(tasks)).cast("int")).sortWithinPartitions("group", "is_row", "part")
+    rows, parts = ROWS, index.parts
+    return arrow_map(met, lambda batches: stream_past(batches, dim, parts, k, rows), FOUND)

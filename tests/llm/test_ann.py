@@ -110,6 +110,31 @@ def test_repeated_rows(spark):
         assert sorted(got[query]) == sorted(want)
 
 
+def test_rows_made_do_not_follow_the_partitions(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 32)).astype(np.float32).astype(float)
+    ids = np.arange(4000)
+    vectors = ann.valid_vectors(frame(spark, ids, x).repartition(3), "vec_id", "embedding")
+    made = [ann._near(vectors, 32, lambda i: i % 20 == 0, 20, parts, 0.96).count() for parts in (16, 64)]
+    assert max(made) <= 200 * 20 * 8
+
+
+def test_best_rows_of_a_stream():
+    rng = np.random.default_rng(13)
+    x = rng.integers(-2, 3, (500, 4)).astype(float)
+    ids, own, parts = rng.permutation(500) // 2, np.arange(500), np.sort(rng.integers(0, 5, 500))
+    asks = rng.random((30, 5)) < 0.6
+    best = ann.Best(ids[:30], own[:30], x[:30], asks, 7)
+    for at in range(0, 500, 33):
+        now = slice(at, at + 33)
+        best.see(ids[now], own[now], x[now], parts[now])
+    for q in range(30):
+        s = x @ x[q]
+        want = [i for i in np.lexsort((ids, -s)) if i != q and asks[q, parts[i]]][:7]
+        got = best.found[q][best.score[q] > -np.inf]
+        assert got.tolist() == ids[want].tolist() and best.score[q][: len(want)].tolist() == s[want].tolist()
+
+
 def test_query_reaches_its_recall(spark, small):
     for folder in (small, small.replace("sf0.001", "sf0.1")):
         table = spark.read.parquet(f"{folder}/embeddings.parquet").toArrow()
